@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from colloquy.llm.op2_shards import op2_token_shards
 from colloquy.llm.op10_bpe import op10_byte_bpe
 
 
 def queries() -> dict:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {"op2_token_shards": op2_token_shards, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict:
