@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from colloquy.llm.op2_shards import op2_token_shards
+from colloquy.llm.op6_html import op6_main_text
 from colloquy.llm.op10_bpe import op10_byte_bpe
 
 
 def queries() -> dict:
-    return {"op2_token_shards": op2_token_shards, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_token_shards": op2_token_shards, "op6_main_text": op6_main_text, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict:
