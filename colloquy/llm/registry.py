@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from colloquy.llm.op2_shards import op2_token_shards
+from colloquy.llm.op5_units import OP5_SQL, op5_substring_dedup
 from colloquy.llm.op6_html import op6_main_text
 from colloquy.llm.op10_bpe import op10_byte_bpe
 
 
 def queries() -> dict:
-    return {"op2_token_shards": op2_token_shards, "op6_main_text": op6_main_text, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_token_shards": op2_token_shards, "op5_substring_dedup": op5_substring_dedup, "op6_main_text": op6_main_text, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_substring_dedup": OP5_SQL}
