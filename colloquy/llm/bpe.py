@@ -26,10 +26,12 @@ from colloquy.llm.common import ragged
 
 #: Piece length in bytes from which the heap takes over.
 LONG = 512
-#: Distinct chunks that a worker keeps.
-CACHE = 400_000
+#: Distinct chunks and pieces that a worker keeps.
+CACHE, PIECES = 250_000, 700_000
 #: A space beside other white space, or white space at the end.
 UNEVEN = re.compile(r"\s | \s|\s\Z")
+#: White space besides the space and the line feed.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = np.int32(2**31 - 1)
 
 
@@ -155,65 +157,86 @@ class ByteBPE:
                     heapq.heappush(heap, (s, a))
         return [x for x in ids if x >= 0]
 
-    def encode_spaced(self, chunks: list[str], lead: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, each with a space before it if `lead`."""
-        if lead:
-            found = self.pattern.findall(" " + " ".join(chunks)) if chunks else []
-            owner = np.cumsum(np.fromiter((p[0] == " " for p in found), np.int64, len(found))) - 1
-        else:
-            parts = [self.pattern.findall(c) for c in chunks]
-            found = [p for part in parts for p in part]
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.empty(0, np.int64)
-        slot: dict[str, int] = {}
-        which = np.fromiter((slot.setdefault(p, len(slot)) for p in found), np.int64, len(found))
-        ids, counts = self.encode_pieces([p.encode() for p in slot])
-        starts = np.cumsum(counts) - counts
-        own = np.bincount(owner, weights=counts[which], minlength=len(chunks)).astype(np.int64) if len(found) else np.zeros(len(chunks), np.int64)
-        return ids[ragged(starts[which], counts[which])] if len(found) else np.empty(0, np.int32), own
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Interner(dict):
-    """Numbers keys as they come, and lists those that are new."""
+def uneven(text: str) -> bool:
+    """UNEVEN.search, by plain searches where they decide."""
+    if "  " in text or " \n" in text or "\n " in text or text[-1:].isspace():
+        return True
+    return any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE)) and bool(UNEVEN.search(text))
+
 
-    def __init__(self):
+class _Store(dict):
+    """Numbers keys as they come and holds their ids. Once it has `most` keys it only lends numbers
+    to further ones until `trim`, so that the frequent keys, which come early, stay."""
+
+    def __init__(self, most: int):
         super().__init__()
-        self.new: list[str] = []
+        self.most, self.new, self.fixed = most, [], (0, 0)
+        self.flat, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def __missing__(self, key: str) -> int:
         at = self[key] = len(self)
         self.new.append(key)
         return at
 
+    def fill(self, encode) -> None:
+        """encode(keys) gives ids and counts of the keys that have none yet."""
+        at = len(self.counts)
+        if at < len(self):
+            ids, own = encode(self.new[at - self.fixed[0] :])
+            self.flat, self.counts = np.concatenate((self.flat, ids)), np.concatenate((self.counts, own))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.counts[numbers]
+        return self.flat[ragged((np.cumsum(self.counts) - self.counts)[numbers], lengths)], lengths
+
+    def trim(self) -> None:
+        if len(self) <= self.most:
+            self.fixed = len(self), len(self.flat)
+        else:
+            for key in self.new:
+                del self[key]
+            self.counts, self.flat = self.counts[: self.fixed[0]], self.flat[: self.fixed[1]]
+        self.new = []
+
+
+class PieceCache:
+    """Encodes chunks through a store of pieces, each of which goes to `encode_new` once."""
+
+    def __init__(self, pattern, encode_new, most: int = PIECES):
+        self.pattern, self.encode_new, self.store = pattern, encode_new, _Store(most)
+
+    def __call__(self, chunks: list[str], lead: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, each with a space before it if `lead`, and each chunk's number of ids."""
+        if lead:
+            found = self.pattern.findall(" " + " ".join(chunks)) if chunks else []
+            owner = np.cumsum(np.fromiter((p[0] == " " for p in found), np.int64, len(found))) - 1
+        else:
+            parts = [self.pattern.findall(c) for c in chunks]
+            found = [p for part in parts for p in part]
+            owner = np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
+        which = np.fromiter(map(self.store.__getitem__, found), np.int64, len(found))
+        self.store.fill(self.encode_new)
+        ids, lengths = self.store.take(which)
+        self.store.trim()
+        return ids, np.bincount(owner, weights=lengths, minlength=len(chunks)).astype(np.int64)
+
 
 class ChunkCache:
-    """Encodes texts by chunks. `encode(chunks, lead)` gives ids and counts, as encode_spaced does."""
+    """Encodes texts by chunks. `encode(chunks, lead)` is as PieceCache's call."""
 
     def __init__(self, encode, most: int = CACHE):
-        self.encode, self.most = encode, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.kinds = [(_Interner(), np.empty(0, np.int32), np.empty(0, np.int64)) for _ in range(2)]
-
-    def _ids(self, lead: bool, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names, flat, counts = self.kinds[lead]
-        if names.new:
-            ids, own = self.encode(names.new, lead)
-            names.new = []
-            flat, counts = np.concatenate((flat, ids)), np.concatenate((counts, own))
-            self.kinds[lead] = names, flat, counts
-        lengths = counts[numbers]
-        return flat[ragged((np.cumsum(counts) - counts)[numbers], lengths)], lengths
+        self.encode, self.kinds = encode, (_Store(most // 8), _Store(most))
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's number of ids."""
         heads, tails, sizes, whole = [], [], [], []
-        first, rest = self.kinds[0][0], self.kinds[1][0]
+        first, rest = self.kinds
         for i, text in enumerate(texts):
-            if UNEVEN.search(text):
+            if uneven(text):
                 whole.append(i)
                 heads.append(first[""])
                 sizes.append(0)
@@ -222,8 +245,12 @@ class ChunkCache:
             heads.append(first[head])
             sizes.append(len(tail))
             tails += map(rest.__getitem__, tail)
-        head_ids, head_n = self._ids(False, np.array(heads, np.int64))
-        tail_ids, chunk_n = self._ids(True, np.array(tails, np.int64))
+        first.fill(lambda new: self.encode(new, False))
+        rest.fill(lambda new: self.encode(new, True))
+        head_ids, head_n = first.take(np.array(heads, np.int64))
+        tail_ids, chunk_n = rest.take(np.array(tails, np.int64))
+        first.trim()
+        rest.trim()
         sizes = np.array(sizes, np.int64)
         edge = np.concatenate(([0], np.cumsum(chunk_n)))[np.concatenate(([0], np.cumsum(sizes)))]
         tail_n = np.diff(edge)
@@ -237,8 +264,6 @@ class ChunkCache:
         out[ragged(starts, head_n)] = head_ids
         out[ragged(starts + head_n, tail_n)] = tail_ids
         out[ragged(starts + head_n + tail_n, other_n)] = other
-        if sum(len(k[0]) for k in self.kinds) > self.most:
-            self._clear()
         return out, counts
 
 
@@ -251,4 +276,5 @@ def load_ranks(path: str, pattern: str) -> ByteBPE:
 
 @lru_cache(maxsize=4)
 def cached(path: str, pattern: str) -> ChunkCache:
-    return ChunkCache(load_ranks(path, pattern).encode_spaced)
+    coder = load_ranks(path, pattern)
+    return ChunkCache(PieceCache(coder.pattern, lambda new: coder.encode_pieces([p.encode() for p in new])))

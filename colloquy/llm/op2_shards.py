@@ -15,7 +15,7 @@ readers and writers; payload and index are the raw bytes.
 Writing: one range shuffle by key, encoding in the sorted partitions. Reading: no shuffle; the
 driver sees one number a partition. `lookup` opens a shard's index and cuts the ids out of the payload.
 
-Encoding calls the tokenizers library once for each distinct chunk between spaces (see bpe.py),
+Encoding calls the tokenizers library for the distinct pieces of the chunks between spaces (see bpe.py),
 which gives the ids of whole texts; texts with uneven white space go to the library whole.
 Strings of special tokens in a text are ordinary text.
 
@@ -32,11 +32,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm.bpe import ChunkCache
-from colloquy.llm.common import Staging, read_table, slices, tune
+from colloquy.llm.bpe import ChunkCache, PieceCache
+from colloquy.llm.common import Staging, ragged, read_table, slices, tune
 from colloquy.llm.mph import Index
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
@@ -55,29 +56,35 @@ class LibraryEncoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
-    def encode(self, chunks: list[str], lead: bool) -> tuple[np.ndarray, np.ndarray]:
-        """As ByteBPE.encode_spaced. A token that begins with a space begins a chunk."""
-        ids, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for a in range(0, len(chunks), 20_000):
-            part = chunks[a : a + 20_000]
-            if lead:
-                own = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, np.int32)
-                at = np.flatnonzero(self.opens[own])
-                if len(at) == len(part):
-                    ids.append(own)
-                    counts.append(np.diff(np.append(at, len(own))))
-                    continue
-                part = [" " + c for c in part]
-            each = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
-            ids.append(np.array([i for e in each for i in e], np.int32))
-            counts.append(np.array([len(e) for e in each], np.int64))
-        return np.concatenate(ids), np.concatenate(counts)
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers. Pieces that begin with a space are encoded in one string: each
+        is split off again as it is, and its first token is the only one with a space."""
+        spaced = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces), bool, len(pieces))
+        counts, parts = np.zeros(len(pieces), np.int64), []
+        where = np.flatnonzero(spaced)
+        for a in range(0, len(where), 20_000):
+            part = where[a : a + 20_000]
+            ids = np.array(self.library.encode_batch_fast(["".join([pieces[i] for i in part.tolist()])], add_special_tokens=False)[0].ids, np.int32)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part):
+                spaced[part] = False
+                continue
+            counts[part] = np.diff(np.append(at, len(ids)))
+            parts.append((part, ids))
+        rest = np.flatnonzero(~spaced)
+        for i, e in zip(rest.tolist(), self.library.encode_batch_fast([pieces[i] for i in rest.tolist()], add_special_tokens=False)):
+            counts[i] = len(e.ids)
+            parts.append((np.array([i]), np.array(e.ids, np.int32)))
+        out, starts = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        for part, ids in parts:
+            out[ragged(starts[part], counts[part])] = ids
+        return out, counts
 
 
 @lru_cache(maxsize=2)
 def _cache(path: str) -> tuple[ChunkCache, int]:
     encoder = LibraryEncoder(path)
-    return ChunkCache(encoder.encode), encoder.width
+    return ChunkCache(PieceCache(regex.compile(public_tokenizers.PATTERN), encoder.encode)), encoder.width
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:

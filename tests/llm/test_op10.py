@@ -51,8 +51,9 @@ def _LIB(made=[]):
 
 
 def test_cache_is_dropped_and_results_stay(library):
-    cache = bpe.ChunkCache(bpe.load_ranks(PATH, P.PATTERN).encode_spaced, most=3)
-    for _ in range(2):
+    coder = bpe.load_ranks(PATH, P.PATTERN)
+    cache = bpe.ChunkCache(bpe.PieceCache(coder.pattern, lambda new: coder.encode_pieces([p.encode() for p in new]), most=2), most=3)
+    for _ in range(3):
         ids, counts = cache.encode_texts(["one two three four five", "six seven one"])
         assert ids.tolist() == library.encode_ordinary("one two three four five") + library.encode_ordinary("six seven one")
 
