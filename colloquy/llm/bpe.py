@@ -8,8 +8,8 @@ with a heap in the same order.
 
 A text is cut at single spaces first: a chunk between two spaces, with its leading space, splits
 into the same pieces wherever it stands, provided that no other white space touches the space.
-Chunks are therefore encoded once each per worker (a bounded cache), and texts that break the
-rule are split whole.
+Chunks are therefore encoded once each per worker (a bounded cache), found by whole-array hashing
+of the texts' bytes, and texts that break the rule are split whole.
 """
 
 from __future__ import annotations
@@ -20,61 +20,71 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from colloquy.llm.common import ragged
+from colloquy.llm.common import RollingHash, ragged
 
 #: Piece length in bytes from which the heap takes over.
 LONG = 512
 #: Distinct chunks and pieces that a worker keeps.
-CACHE, PIECES = 250_000, 700_000
+CACHE, PIECES = 1_000_000, 500_000
 #: A space beside other white space, or white space at the end.
 UNEVEN = re.compile(r"\s | \s|\s\Z")
-#: White space besides the space and the line feed.
-OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: ASCII white space; first bytes of other white space in UTF-8.
+_SPACE, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _NONE = np.int32(2**31 - 1)
 
 
-class PairTable:
-    """Open addressing over pairs of token ids; lookups of whole matrices."""
+class HashTable:
+    """Open addressing from 64-bit keys to numbers; inserts and lookups of whole arrays."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
-        keys = left.astype(np.uint64) << np.uint64(20) | right.astype(np.uint64)
-        bits = max(4, int(len(keys) * 3).bit_length())
+    EMPTY = np.uint64(2**64 - 1)
+
+    def __init__(self, most: int):
+        bits = max(4, int(most * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, 2**64 - 1, np.uint64)
+        self.keys = np.full(1 << bits, self.EMPTY, np.uint64)
         self.values = np.full(1 << bits, _NONE, np.int32)
-        slots, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys must be distinct and absent."""
+        slots, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
-            self.probes += 1
             at = slots[todo]
-            free = self.values[at] == _NONE
+            free = self.keys[at] == self.EMPTY
             taken, first = np.unique(at[free], return_index=True)
             who = todo[free][first]
-            self.keys[taken], self.values[taken] = keys[who], merged[who]
+            self.keys[taken], self.values[taken] = keys[who], values[who]
             todo = np.setdiff1d(todo, who, assume_unique=True)
-            slots[todo] = np.where(self.keys[slots[todo]] != 2**64 - 1, (slots[todo] + 1) & self.mask, slots[todo])
+            full = self.keys[slots[todo]] != self.EMPTY
+            slots[todo[full]] = (slots[todo[full]] + 1) & self.mask
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Merged ids; those of absent pairs are above every id."""
-        keys = left.astype(np.uint64) << np.uint64(20) | right.astype(np.uint64)
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values; those of absent keys are above every number."""
         at = self._slot(keys)
         found = self.keys[at]
         out = np.where(found == keys, self.values[at], _NONE)
         flat_out, flat_at, flat_keys = out.reshape(-1), at.reshape(-1), keys.reshape(-1)
-        todo = np.flatnonzero((found != keys).reshape(-1) & (found != 2**64 - 1).reshape(-1))
+        todo = np.flatnonzero((found != keys).reshape(-1) & (found != self.EMPTY).reshape(-1))
         while len(todo):
             flat_at[todo] = (flat_at[todo] + 1) & self.mask
             found = self.keys[flat_at[todo]]
             hit = found == flat_keys[todo]
             flat_out[todo[hit]] = self.values[flat_at[todo[hit]]]
-            todo = todo[~hit & (found != 2**64 - 1)]
+            todo = todo[~hit & (found != self.EMPTY)]
         return out
 
 
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(20) | right.astype(np.uint64)
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -83,7 +93,9 @@ class ByteBPE:
             self.bytes_of[rank] = piece
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
-        self.table = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
+        left, right, merged = np.array(pairs, np.int32).reshape(-1, 3).T
+        self.table = HashTable(len(pairs))
+        self.table.insert(pair_keys(left, right), merged)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and the number of ids of each piece."""
@@ -120,7 +132,7 @@ class ByteBPE:
         ids, who = self.byte_ids[raw], np.array(who)
         while len(who):
             w = ids.shape[1]
-            ranks = self.table.get(ids[:, :-1], ids[:, 1:]) if w > 1 else np.full((len(who), 1), _NONE)
+            ranks = self.table.get(pair_keys(ids[:, :-1], ids[:, 1:])) if w > 1 else np.full((len(who), 1), _NONE)
             ranks[np.arange(ranks.shape[1]) >= (length - 1)[:, None]] = _NONE
             at = ranks.argmin(1)
             best = ranks[np.arange(len(who)), at]
@@ -136,7 +148,7 @@ class ByteBPE:
 
     def _heap(self, piece: bytes) -> list[int]:
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        first = self.table.get(np.array(ids[:-1]), np.array(ids[1:]))
+        first = self.table.get(pair_keys(np.array(ids[:-1]), np.array(ids[1:])))
         heap = [(int(r), i) for i, r in enumerate(first.tolist()) if r != _NONE]
         heapq.heapify(heap)
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
@@ -161,13 +173,6 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def uneven(text: str) -> bool:
-    """UNEVEN.search, by plain searches where they decide."""
-    if "  " in text or " \n" in text or "\n " in text or text[-1:].isspace():
-        return True
-    return any(c in text for c in (OTHER_SPACE[:8] if text.isascii() else OTHER_SPACE)) and bool(UNEVEN.search(text))
-
-
 class _Store(dict):
     """Numbers keys as they come and holds their ids. Once it has `most` keys it only lends numbers
     to further ones until `trim`, so that the frequent keys, which come early, stay."""
@@ -226,46 +231,95 @@ class PieceCache:
 
 
 class ChunkCache:
-    """Encodes texts by chunks. `encode(chunks, lead)` is as PieceCache's call."""
+    """Encodes texts by chunks. `encode(chunks, lead)` is as PieceCache's call.
+
+    Chunks are told apart by a 64-bit rolling hash and their length; the first `most` distinct ones
+    of a worker are kept, without their strings.
+    """
 
     def __init__(self, encode, most: int = CACHE):
-        self.encode, self.kinds = encode, (_Store(most // 8), _Store(most))
+        self.encode, self.most, self.table = encode, most, HashTable(most)
+        self.flat, self.counts, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and each text's number of ids."""
-        heads, tails, sizes, whole = [], [], [], []
-        first, rest = self.kinds
-        for i, text in enumerate(texts):
-            if uneven(text):
-                whole.append(i)
-                heads.append(first[""])
-                sizes.append(0)
-                continue
-            head, *tail = text.split(" ")
-            heads.append(first[head])
-            sizes.append(len(tail))
-            tails += map(rest.__getitem__, tail)
-        first.fill(lambda new: self.encode(new, False))
-        rest.fill(lambda new: self.encode(new, True))
-        head_ids, head_n = first.take(np.array(heads, np.int64))
-        tail_ids, chunk_n = rest.take(np.array(tails, np.int64))
-        first.trim()
-        rest.trim()
-        sizes = np.array(sizes, np.int64)
-        edge = np.concatenate(([0], np.cumsum(chunk_n)))[np.concatenate(([0], np.cumsum(sizes)))]
-        tail_n = np.diff(edge)
-        counts, other, other_n = head_n + tail_n, np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        if whole:
-            other, own = self.encode([texts[i] for i in whole], False)
-            other_n[whole] = own
-            counts = counts + other_n
-        starts = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.int32)
-        out[ragged(starts, head_n)] = head_ids
-        out[ragged(starts + head_n, tail_n)] = tail_ids
-        out[ragged(starts + head_n + tail_n, other_n)] = other
+        return self.encode_array(pa.array(texts, pa.string()))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and each text's number of ids. Null: none."""
+        edges = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32, len(texts) + 1, texts.offset * (8 if pa.types.is_large_string(texts.type) else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        lengths = np.diff(edges)
+        whole = self._uneven(body, edges, texts)
+        counts, made = np.zeros(len(texts), np.int64), []
+        plain = np.flatnonzero(~whole & (lengths > 0))
+        if len(plain):
+            space = np.flatnonzero(body == 32)
+            owner = np.searchsorted(edges, space, "right") - 1
+            space = space[~whole[owner]]
+            at, end = np.sort(np.concatenate((edges[plain], space + 1))), np.sort(np.concatenate((space, edges[plain + 1])))
+            lead = np.ones(len(at), bool)
+            lead[np.searchsorted(at, edges[plain])] = False
+            keys = np.minimum(RollingHash(body).spans(at, end - at) ^ np.where(lead, np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5)), np.uint64(2**64 - 2))
+            number = self.table.get(keys).astype(np.int64)
+            fixed = len(self.counts)
+            new = np.flatnonzero(number == _NONE)
+            if len(new):
+                fresh, first, place = np.unique(keys[new], return_index=True, return_inverse=True)
+                first = new[first]
+                order = np.argsort(~lead[first], kind="stable")  # those with a space come first
+                raw = body.tobytes()
+                names = [raw[a:z].decode() for a, z in zip(at[first[order]].tolist(), end[first[order]].tolist())]
+                n = int(lead[first].sum())
+                parts = [self.encode(names[:n], True), self.encode(names[n:], False)]
+                self._extend(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                number[new] = fixed + rank[place]
+                if fixed + len(fresh) <= self.most:
+                    self.table.insert(fresh, (fixed + rank).astype(np.int32))
+                    fixed += len(fresh)
+            own = self.counts[number]
+            ids = self.flat[ragged(self.starts[number], own)]
+            of = np.searchsorted(edges, at, "right") - 1
+            counts += np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)
+            if fixed < len(self.counts):
+                self.flat, self.counts, self.starts = self.flat[: self.starts[fixed]], self.counts[:fixed], self.starts[:fixed]
+            made.append((plain, ids))
+        rest = np.flatnonzero(whole)
+        if len(rest):
+            ids, own = self.encode(texts.take(pa.array(rest)).to_pylist(), False)
+            counts[rest] = own
+            made.append((rest, ids))
+        if len(made) == 1:
+            return made[0][1], counts
+        starts, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int32)
+        for who, ids in made:
+            out[ragged(starts[who], counts[who])] = ids
         return out, counts
 
+    def _extend(self, ids: np.ndarray, own: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(own) - own))
+        self.flat, self.counts = np.concatenate((self.flat, ids)), np.concatenate((self.counts, own))
+
+    @staticmethod
+    def _uneven(body: np.ndarray, edges: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Which texts UNEVEN finds something in."""
+        out = np.zeros(len(texts), bool)
+        if not len(body):
+            return out
+        blank = _SPACE[body]
+        touching = np.flatnonzero(blank[:-1] & blank[1:] & ((body[:-1] == 32) | (body[1:] == 32)))
+        owner = np.searchsorted(edges, touching, "right") - 1
+        out[owner[touching + 1 < edges[owner + 1]]] = True
+        full = np.diff(edges) > 0
+        out[full] |= blank[edges[1:][full] - 1]
+        lead = np.flatnonzero(_LEAD[body])
+        if len(lead):
+            for i in np.unique(np.searchsorted(edges, lead, "right") - 1).tolist():
+                out[i] = out[i] or bool(UNEVEN.search(texts[i].as_py()))
+        return out
+
 
 @lru_cache(maxsize=4)
 def load_ranks(path: str, pattern: str) -> ByteBPE:

@@ -82,3 +82,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 2**64)
+_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class RollingHash:
+    """Polynomial hashes modulo 2^64 of any span of bytes, from one running sum."""
+
+    def __init__(self, body: np.ndarray):
+        n = len(body)
+        if len(_powers[0]) <= n:
+            for i, base in enumerate((_BASE, _INVERSE)):
+                steps = np.full(n + n // 4 + 1, base, np.uint64)
+                steps[0] = 1
+                _powers[i] = np.cumprod(steps)
+        up, self.down = _powers
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[body] * up[:n], out=self.sums[1:])
+
+    def spans(self, at: np.ndarray, length) -> np.ndarray:
+        return mix64((self.sums[at + length] - self.sums[at]) * self.down[at] + np.asarray(length).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))

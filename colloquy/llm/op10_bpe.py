@@ -32,8 +32,7 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_column):
-                texts = [t or "" for t in part.column(text_column).to_pylist()]
-                ids, counts = bpe.cached(path, pattern).encode_texts(texts)
+                ids, counts = bpe.cached(path, pattern).encode_array(part.column(text_column))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], [*part.schema.names, ids_column])
 
@@ -64,7 +63,7 @@ def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokeni
         decimal = [str(i) for i in range(len(coder.bytes_of))]
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, counts = cache.encode_texts([t or "" for t in part.column("text").to_pylist()])
+                flat, counts = cache.encode_array(part.column("text"))
                 ids, edges = flat.tolist(), np.concatenate(([0], np.cumsum(counts))).tolist()
                 said, back = [], []
                 for a, b in zip(edges, edges[1:]):

@@ -87,10 +87,6 @@ def _cache(path: str) -> tuple[ChunkCache, int]:
     return ChunkCache(PieceCache(regex.compile(public_tokenizers.PATTERN), encoder.encode)), encoder.width
 
 
-def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    return _cache(path)[0].encode_texts(texts)
-
-
 def _shard(part: int, seq: int, before: int, keys: list, ids: np.ndarray, counts: np.ndarray, width: int) -> dict:
     starts = np.cumsum(counts) - counts
     known = [i for i, k in enumerate(keys) if k is not None and (i == 0 or keys[i - 1] != k)]
@@ -118,7 +114,7 @@ def write_shards(df: DataFrame, staging: Staging, name: str, key: str = "doc_id"
 
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
-                ids, own = encode_texts(piece.column("text").to_pylist(), path)
+                ids, own = _cache(path)[0].encode_array(piece.column("text"))
                 ended = np.full(len(ids) + len(own), end_id, np.int32)
                 keep = np.ones(len(ended), bool)
                 keep[np.cumsum(own + 1) - 1] = False

@@ -32,38 +32,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm.common import Staging, mix64, ragged, read_table, tune
+from colloquy.llm.common import RollingHash, Staging, mix64, ragged, read_table, tune
 
 LENGTH, TRIGGER, SPACING, NEAR = 200, 16, 24, 100
 SHARD, RANGE_KEYS = 1 << 20, 1 << 20
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 2**64)
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n + n // 4, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
-
-
-class Texts:
+class Texts(RollingHash):
     """Texts one after another, with rolling hashes of any span."""
 
     def __init__(self, body: bytes, lengths: np.ndarray):
         self.body, self.lengths = np.frombuffer(body, np.uint8), lengths
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        up, self.down = _grown(len(body) + 1)
-        self.sums = np.zeros(len(body) + 1, np.uint64)
-        np.cumsum(_TABLE[self.body] * up[: len(body)], out=self.sums[1:])
-
-    def spans(self, at: np.ndarray, length) -> np.ndarray:
-        return mix64((self.sums[at + length] - self.sums[at]) * self.down[at] + np.asarray(length).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        super().__init__(self.body)
 
     def fits(self, length: int) -> np.ndarray:
         """Whether a span from each byte stays in its text."""
