@@ -7,12 +7,13 @@ from colloquy.llm.op3_repeats import op3_repeated_bytes
 from colloquy.llm.op5_units import OP5_SQL, op5_substring_dedup
 from colloquy.llm.op6_html import op6_main_text
 from colloquy.llm.op7_jaccard import op7_jaccard_join
+from colloquy.llm.op8_quality import op8_weak_quality
 from colloquy.llm.op9_phrases import OP9_SQL, op9_phrase_decontamination
 from colloquy.llm.op10_bpe import op10_byte_bpe
 
 
 def queries() -> dict:
-    return {"op2_token_shards": op2_token_shards, "op3_repeated_bytes": op3_repeated_bytes, "op5_substring_dedup": op5_substring_dedup, "op6_main_text": op6_main_text, "op7_jaccard_join": op7_jaccard_join, "op9_phrase_decontamination": op9_phrase_decontamination, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_token_shards": op2_token_shards, "op3_repeated_bytes": op3_repeated_bytes, "op5_substring_dedup": op5_substring_dedup, "op6_main_text": op6_main_text, "op7_jaccard_join": op7_jaccard_join, "op8_weak_quality": op8_weak_quality, "op9_phrase_decontamination": op9_phrase_decontamination, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict:
