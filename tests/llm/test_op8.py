@@ -40,7 +40,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    rows = [(i, PROSE + f" number {i}.") for i in range(40)] + [(50 + i, "BUY NOW!! " * 30 + str(i)) for i in range(6)] + [(90, None), (91, ""), (92, " \n"), (93, "Short."), (93, "Short."), (94, " ".join(f"w{i * 7919 % 50021}a and so" + "." * (i % 4 == 0) for i in range(20_000))), (None, PROSE)]
+    rows = [(i, PROSE + f" number {i}.") for i in range(40)] + [(50 + i, "BUY NOW!! " * 30 + str(i)) for i in range(6)] + [(90, None), (91, ""), (92, " \n"), (93, "Short."), (93, "Short."), (94, " ".join(f"w{i * 7919 % 50021}a x{i % 97}y and{i % 31}so" + "." * (i % 4 == 0) for i in range(20_000))), (None, PROSE)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as mark", "2 as pattern")
     model = fitted(spark, df)
     got = op.classify(df, model).collect()
