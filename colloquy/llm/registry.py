@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from colloquy.llm.op1_bm25 import op1_bm25_top_k
 from colloquy.llm.op2_shards import op2_token_shards
 from colloquy.llm.op3_repeats import op3_repeated_bytes
 from colloquy.llm.op5_units import OP5_SQL, op5_substring_dedup
@@ -13,7 +14,7 @@ from colloquy.llm.op10_bpe import op10_byte_bpe
 
 
 def queries() -> dict:
-    return {"op2_token_shards": op2_token_shards, "op3_repeated_bytes": op3_repeated_bytes, "op5_substring_dedup": op5_substring_dedup, "op6_main_text": op6_main_text, "op7_jaccard_join": op7_jaccard_join, "op8_weak_quality": op8_weak_quality, "op9_phrase_decontamination": op9_phrase_decontamination, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_bm25_top_k": op1_bm25_top_k, "op2_token_shards": op2_token_shards, "op3_repeated_bytes": op3_repeated_bytes, "op5_substring_dedup": op5_substring_dedup, "op6_main_text": op6_main_text, "op7_jaccard_join": op7_jaccard_join, "op8_weak_quality": op8_weak_quality, "op9_phrase_decontamination": op9_phrase_decontamination, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict:
