@@ -56,4 +56,6 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in op.op1_bm25_top_k(spark, sf).collect()), key=repr)
-    assert got == brute(docs, [d for d in docs if d[0] % 50 == 0], 10)
+    want = brute(docs, [d for d in docs if d[0] % 50 == 0], 10)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 1e-4 for a, b in zip(got, want))
