@@ -54,8 +54,8 @@ def decode(df: DataFrame, ids_column: str = "ids", out_column: str = "decoded",
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_column, T.BinaryType())]))
 
 
-def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Per document: its number of ids, and the digests of the ids and of the decoded bytes."""
+def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+    """Per document: its number of ids, and the digests of the ids and of the decoded bytes; the ids too if asked for."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
@@ -70,9 +70,13 @@ def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokeni
                     own = ids[a:b]
                     said.append(hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest())
                     back.append(hashlib.sha256(coder.decode(own)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out, names = [part.column("doc_id"), pa.array(counts), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.array(edges, np.int32)), pa.array(flat)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
