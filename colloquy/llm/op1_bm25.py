@@ -6,8 +6,10 @@ frequencies, the number of rows and the mean length are those of the whole table
 
 Queries go in blocks of about BLOCK_TERMS terms, each broadcast; their number follows the query set, and
 for each the shards are read once. For a query, the sum of its terms' block maxima bounds every score in
-a block. Blocks are scored from the highest bound on, until the bound falls under the k-th best score,
-which a task keeps across its shards. Tasks' best are merged by score and id.
+a block; a block whose bound is under the query's k-th best score, which a task keeps across its shards, is
+skipped. In the others, frequent terms are scored for many queries at once as matrix products in single
+precision, rare ones by their postings; what then may be among the k best is scored again in double precision,
+term by term. Tasks' best are merged by score and id.
 
 Terms: A-Z lowered, `[0-9a-z]` and all beyond ASCII; each distinct term of a query counts once. Scores sum
 in the order of terms, so equal texts score alike; ties go by doc_id, nulls last.
@@ -28,6 +30,8 @@ from colloquy.llm.common import Staging, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
 SHARD_BYTES, BLOCK, BLOCK_TERMS = 24 << 20, 64, 1_500_000
+#: Queries scored together; the share of a shard's texts from which a term is frequent; what single precision may miss.
+TOGETHER, DENSE, SLACK = 256, 0.03, 2e-4
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -91,39 +95,74 @@ class Shard:
         # a term's entries among (term, block)
         edges = np.searchsorted(self.at, np.concatenate(([0], starts)))
         self.entry, self.entries = edges[:-1], np.diff(edges)
-        self.blocks = -(-row["n"] // BLOCK)
-
-    def search(self, places: np.ndarray, weights: np.ndarray, best: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merges the shard's matches of a query into its best scores and (null flag, id) pairs."""
-        entries = ragged(self.entry[places], self.entries[places])
-        weight, block = np.repeat(weights, self.entries[places]), self.block[entries]
-        bound = np.bincount(block, weight * self.most[entries], self.blocks)
-        todo = bound > 0
-        step = 2
-        while True:
-            worst = best[-1] if len(best) == k else -1.0
-            todo &= bound * (1 + 1e-12) >= worst
-            left = np.flatnonzero(todo)
-            if not len(left):
-                return best, found
-            if step and len(left) > step:
-                left = left[np.argpartition(-bound[left], step - 1)[:step]]
-            step = 8 if step == 2 else 0
-            todo[left] = False
-            here = np.zeros(self.blocks, bool)
-            here[left] = True
-            keep = here[block]
-            at, length = self.at[entries[keep]], self.length[entries[keep]]
-            posting = ragged(at, length)
-            score = np.bincount(self.docs[posting], np.repeat(weight[keep], length) * self.impact[posting], len(self.ids))
-            hit = np.flatnonzero((score > 0) & (score >= worst))
-            if len(hit) > k:
-                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+        n = row["n"]
+        self.blocks = -(-n // BLOCK)
+        frequency = np.diff(np.concatenate(([0], starts)))
+        # frequent terms as rows over all documents, and over blocks
+        self.dense = np.full(len(self.terms), -1)
+        often = np.flatnonzero(frequency >= max(2, DENSE * n))
+        self.dense[often] = np.arange(len(often))
+        self.exact = np.zeros((len(often), self.blocks * BLOCK))
+        place = self.dense[owner]
+        self.exact[place[place >= 0], self.docs[place >= 0]] = self.impact[place >= 0]
+        self.rows = self.exact.astype(np.float32)
+        self.tops = self.rows.reshape(len(often), self.blocks, BLOCK).max(2)
+        self.column = np.full(n, -1)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: list[np.ndarray], found: list[np.ndarray], k: int) -> None:
+        """Merges the shard's matches of (term places, weights) into best scores and (null flag, id) pairs."""
+        n = len(self.ids)
+        frequent = np.zeros((len(queries), len(self.rows)), np.float32)
+        bound = np.zeros((len(queries), self.blocks), np.float32)
+        rare = []
+        for q, (places, weights) in enumerate(queries):
+            at = self.dense[places]
+            often = at >= 0
+            frequent[q, at[often]] = weights[often]
+            places, weights = places[~often], weights[~often]
+            entries = ragged(self.entry[places], self.entries[places])
+            weight = np.repeat(weights, self.entries[places])
+            bound[q] = np.bincount(self.block[entries], weight * self.most[entries], self.blocks)
+            rare.append((entries, weight, np.flatnonzero(~often), places))
+        bound += frequent @ self.tops
+        worst = np.array([b[-1] if len(b) == k else 0.0 for b in best])
+        todo = (bound > 0) & (bound * (1 + SLACK) >= worst[:, None])
+        score = np.full((len(queries), self.blocks * BLOCK), -1, np.float32)
+        for b in range(self.blocks):
+            who = np.flatnonzero(todo[:, b])
+            if len(who):
+                own = frequent if len(who) == len(queries) else frequent[who]
+                score[who, b * BLOCK : (b + 1) * BLOCK] = own @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
+        for q, (entries, weight, rows, places) in enumerate(rare):
+            if not todo[q].any():
+                continue
+            length = self.length[entries]
+            posting = ragged(self.at[entries], length)
+            own = score[q, :n]
+            doc, part = self.docs[posting], np.repeat(weight, length) * self.impact[posting]
+            own += np.bincount(doc, part, n).astype(np.float32) * (own >= 0)
+            least = worst[q]
+            if n > k:
+                least = max(least, float(np.partition(own, n - k)[n - k]))
+            hit = np.flatnonzero((own > 0) & (own >= least * (1 - SLACK)))
             if len(hit):
-                best = np.concatenate((best, score[hit]))
-                found = np.concatenate((found, np.stack((~self.known[hit], self.ids[hit]), 1)))
-                order = np.lexsort((found[:, 1], found[:, 0], -best))[:k]
-                best, found = best[order], found[order]
+                term = np.repeat(np.repeat(rows, self.entries[places]), length)
+                self.column[hit] = np.arange(len(hit))
+                column = self.column[doc]
+                inside = column >= 0
+                parts = np.zeros((len(queries[q][0]), len(hit)))
+                parts[term[inside], column[inside]] = part[inside]
+                often = np.flatnonzero(self.dense[queries[q][0]] >= 0)
+                parts[often] = self.exact[np.ix_(self.dense[queries[q][0][often]], hit)] * queries[q][1][often, None]
+                self.column[hit] = -1
+                best[q], found[q] = self._merged(hit, np.add.reduce(parts, axis=0), best[q], found[q], k)
+
+    def _merged(self, hit: np.ndarray, score: np.ndarray, best: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates' scores, summed row by row in the order of terms, among the best so far."""
+        best = np.concatenate((best, score))
+        found = np.concatenate((found, np.stack((~self.known[hit], self.ids[hit]), 1)))
+        order = np.lexsort((found[:, 1], found[:, 0], -best))[:k]
+        return best[order], found[order]
 
 
 def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) -> DataFrame:
@@ -193,12 +232,17 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
                     shard = Shard(row, mean)
                     where = np.searchsorted(shard.terms, term)
                     where = np.where(shard.terms[np.minimum(where, max(0, len(shard.terms) - 1))] == term, where, -1) if len(shard.terms) else np.full(len(term), -1)
-                    for q in range(len(names)):
-                        own = place[at[q] : at[q + 1]]
-                        own = own[own >= 0]
-                        own = own[where[own] >= 0]
-                        if len(own):
-                            best[q], found[q] = shard.search(where[own], weight[own], best[q], found[q], k)
+                    for a in range(0, len(names), TOGETHER):
+                        asked = []
+                        for q in range(a, min(a + TOGETHER, len(names))):
+                            own = place[at[q] : at[q + 1]]
+                            own = own[own >= 0]
+                            own = own[where[own] >= 0]
+                            asked.append((where[own], weight[own]))
+                        z = a + len(asked)
+                        own_best, own_found = best[a:z], found[a:z]
+                        shard.search(asked, own_best, own_found, k)
+                        best[a:z], found[a:z] = own_best, own_found
             sizes = [len(x) for x in best]
             if sum(sizes):
                 pairs = np.concatenate(found)
