@@ -6,14 +6,16 @@ For a band, H bounds the symmetric difference of any linked pair.
 
 Segments. Shingles hash into m ranges of the universe; a segment is what a set has in one range.
 Each range is allocated a number of differences that it may take: 1 (index the segment itself) or 2 (the
-segment and its one-deletion neighbourhood). With allocations that sum to H+1 or more, a linked pair
-agrees in at least one indexed key. The cheaper of the two allocations is taken for each band by a cost
-of keys plus the collisions expected of segments with at most one shingle. Ranges beyond H+1 give slack:
-a set with at most `slack` such weak segments leaves them out; the pair then still agrees in another.
+segment and its one-deletion neighbourhood). With allocations that sum to H+1, a linked pair agrees in at
+least one indexed key. The cheaper of the two allocations is taken for each band, by a cost of keys plus
+the collisions expected of segments with at most one shingle. Ranges of allocation 1 are half as many
+again as H+1: a linked pair then agrees in more than `slack` of them, so a set may leave out the `slack`
+keys that the most sets share (allocation 0): its empty segments first, then by counted frequency. What
+no other set shares, or what is left out, costs nothing more; most sets with a few common passages end here.
 
-Candidates. Keys go, packed by slice of documents, to buckets; equal keys give star edges, of which a
-task passes on a spanning forest. Components of these edges hold every linked pair. Equal sets are
-one node from the start, so copies never multiply.
+Candidates. Keys go, packed by slice of documents, to buckets, which count them; sets with too few shared
+keys drop out; the others' remaining keys give star edges. Components of these edges hold every linked
+pair. Equal sets are one node from the start, so copies never multiply.
 
 Verification is exact, on the sets themselves: a component (or, of one over CAP shingles, each pair of
 its blocks) is one task's group, in which every pair of unconnected sets within the size bounds is counted
@@ -33,9 +35,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from colloquy.llm.common import Staging, mix64, ragged, read_table, slices, tune
+from colloquy.llm.common import Staging, mix64, read_table, slices, tune
 from colloquy.llm.graph import components
 
 #: Shingles of a verification task; keys of a bucket; nodes up to which the labels are broadcast.
@@ -92,17 +94,12 @@ class Scheme:
         if not differences:
             return 0, False, 0
         need = differences + 1
-        ranges, slack = need + 1, 1
-        for _ in range(20):
-            mean = low / ranges
-            weak = ranges * math.exp(-mean) * (1 + mean)
-            slack = 1 + math.ceil(weak + 3 * math.sqrt(weak))
-            if ranges >= need + slack:
-                break
-            ranges = need + slack
-        plain = ranges + WEAK_COST * weak
+        slack = 1 + need // 2
+        ranges = need + slack
+        mean = low / ranges
+        weak = ranges * math.exp(-mean) * (1 + mean)
         pairs = -(-need // 2)
-        return (pairs, True, 0) if low + pairs < plain else (ranges, False, slack)
+        return (pairs, True, 0) if low + pairs < ranges + WEAK_COST * max(0.0, weak - slack / 2) else (ranges, False, slack)
 
 
 @lru_cache(maxsize=8)
@@ -110,60 +107,42 @@ def scheme(p: int, q: int) -> Scheme:
     return Scheme(p, q)
 
 
-def keys_of(sets: list[np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of sorted sets, and the number of the set that each is of."""
+def keys_of(sets: list[np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sorted sets and the owner of each: twice a set's number, plus 1 for the band below;
+    the owners' bands, and how many shared keys an owner may still leave out."""
     made, sizes = scheme(p, q), np.array([len(s) for s in sets], np.int64)
     band = made.band(sizes)
     keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    bands, spare = np.repeat(band, 2), np.zeros(2 * len(sets), np.int64)
+    bands[1::2] -= 1
     for below in (0, 1):
         plans = [made.plan(b - below) if n and b >= below else (0, False, 0) for b, n in zip(band.tolist(), sizes.tolist())]
         for deletions in (False, True):
-            who = [i for i, plan in enumerate(plans) if plan[0] and plan[1] == deletions]
-            if not who:
+            who = np.array([i for i, plan in enumerate(plans) if plan[0] and plan[1] == deletions], np.int64)
+            if not len(who):
                 continue
-            n, ranges, slack = sizes[who], np.array([plans[i][0] for i in who], np.uint64), np.array([plans[i][2] for i in who])
-            tokens, owner = np.concatenate([sets[i] for i in who]), np.repeat(np.arange(len(who)), n)
+            ranges, slack = np.array([plans[i][0] for i in who], np.uint64), np.array([plans[i][2] for i in who])
+            tokens, owner = np.concatenate([sets[i] for i in who]), np.repeat(np.arange(len(who)), sizes[who])
             segment = ((tokens >> np.uint64(32)) * ranges[owner] >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (segment[1:] != segment[:-1]))))
             lengths = np.diff(np.append(starts, len(tokens)))
             mixed = mix64(tokens)
             sums, of, place = np.add.reduceat(mixed, starts), owner[starts], segment[starts]
             tag = mix64((band[who][of] - below).astype(np.uint64) << np.uint64(40) | place.astype(np.uint64))
-            filled = np.bincount(of, minlength=len(who))
+            keys.append(mix64(sums ^ tag))
+            owners.append(2 * who[of] + below)
+            empties = ranges.astype(np.int64) - np.bincount(of, minlength=len(who))
+            left = slack - empties
             if deletions:
-                keys += [mix64(sums ^ tag), mix64((np.repeat(sums, lengths) - mixed) ^ np.repeat(tag, lengths))]
-                owners += [np.array(who)[of], np.array(who)[owner]]
-            else:
-                weak = np.bincount(of, weights=lengths <= 1, minlength=len(who)).astype(np.int64) + ranges.astype(np.int64) - filled
-                many = weak > slack
-                keep = (lengths > 1) | many[of]
-                keys.append(mix64(sums[keep] ^ tag[keep]))
-                owners.append(np.array(who)[of[keep]])
-            # empty segments: all of them with deletions or too many weak ones
-            for j in np.flatnonzero((filled < ranges.astype(np.int64)) & (many if not deletions else True)).tolist():
-                empty = np.setdiff1d(np.arange(int(ranges[j])), place[of == j], assume_unique=True)
+                keys.append(mix64((np.repeat(sums, lengths) - mixed) ^ np.repeat(tag, lengths)))
+                owners.append(2 * who[owner] + below)
+            spare[2 * who + below] = np.maximum(left, 0)
+            # empty segments that can't be left out: those in the last ranges
+            for j in np.flatnonzero(left < 0).tolist():
+                empty = np.setdiff1d(np.arange(int(ranges[j])), place[of == j], assume_unique=True)[left[j] :]
                 keys.append(mix64(mix64(np.uint64(int(band[who[j]]) - below) << np.uint64(40) | empty.astype(np.uint64))))
-                owners.append(np.full(len(empty), who[j]))
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of edges, as (node, root)."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    left, right = at[: len(a)].tolist(), at[len(a) :].tolist()
-    root = list(range(len(nodes)))
-    for x, y in zip(left, right):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    for i in range(len(root)):
-        root[i] = root[root[i]]
-    root = np.array(root, np.int64)
-    moved = root != np.arange(len(root))
-    return nodes[moved], nodes[root[moved]]
+                owners.append(np.full(len(empty), 2 * who[j] + below))
+    return np.concatenate(keys), np.concatenate(owners), bands, spare
 
 
 def links_within(sets: list[np.ndarray], p: int, q: int) -> np.ndarray:
@@ -214,7 +193,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     if figures[1]:
         raise ValueError("two sets share a 64-bit digest; choose another seed")
     total = figures[0] or 0
-    buckets = max(1, round(total * 4 * (q - p) / (q + p) / BUCKET_KEYS) + 1)
+    buckets = 1 + int(total * 6 * (q - p) / (q + p) / BUCKET_KEYS)
 
     def index(batches):
         for batch in batches:
@@ -229,9 +208,9 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
                             sets.append(s)
                 if not sets:
                     continue
-                keys, owners = keys_of(sets, p, q)
-                names = np.array(list(seen), np.uint64).view(np.int64)
-                bucket = (keys >> np.uint64(48)) % np.uint64(buckets)
+                keys, owners, bands, spare = keys_of(sets, p, q)
+                names = np.repeat(np.array(list(seen), np.uint64).view(np.int64), 2)
+                bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
                 rows = []
@@ -239,27 +218,41 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
                     take = order[edges[b] : edges[b + 1]]
                     if len(take):
                         used, local = np.unique(owners[take], return_inverse=True)
-                        low = keys[take]
-                        rows.append((b, low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint16).tobytes(), local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes(), names[used].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "keys", "owners", "names"])
+                        # 32 bits of a key suffice beside its bucket: a chance meeting only costs time
+                        rows.append((b, keys[take].astype(np.uint32).tobytes(), local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes(), names[used].tobytes(), bands[used].astype(np.int32).tobytes(), spare[used].astype(np.int32).tobytes()))
+                kinds = (pa.int32(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "owners", "names", "bands", "spare"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, nodes_ = [], []
-        for raw, owners, names in zip(pdf["keys"], pdf["owners"], pdf["names"]):
-            n = len(raw) // 6
-            keys.append(np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
-            nodes_.append(np.frombuffer(names, np.int64)[np.frombuffer(owners, np.uint16 if len(owners) == 2 * n else np.uint32)])
-        keys, nodes_ = np.concatenate(keys), np.concatenate(nodes_)
-        order = np.argsort(keys, kind="stable")
-        keys, nodes_ = keys[order], nodes_[order]
+        """Keys that several nodes share: one row a key and node."""
+        keys, nodes_, bands, spare = [], [], [], []
+        for raw, owners, names, band, left in zip(pdf["keys"], pdf["owners"], pdf["names"], pdf["bands"], pdf["spare"]):
+            n = len(raw) // 4
+            own = np.frombuffer(owners, np.uint16 if len(owners) == 2 * n else np.uint32)
+            keys.append(np.frombuffer(raw, np.uint32))
+            nodes_.append(np.frombuffer(names, np.int64)[own])
+            bands.append(np.frombuffer(band, np.int32)[own])
+            spare.append(np.frombuffer(left, np.int32)[own])
+        keys, nodes_, bands, spare = (np.concatenate(x) for x in (keys, nodes_, bands, spare))
+        order = np.lexsort((nodes_, keys))
+        keys, nodes_, bands, spare = keys[order], nodes_[order], bands[order], spare[order]
+        once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes_[1:] != nodes_[:-1])))
+        keys, nodes_, bands, spare = keys[once], nodes_[once], bands[once], spare[once]
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        pivot = nodes_[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        apart = pivot != nodes_
-        pairs = np.unique(np.stack((pivot[apart], nodes_[apart]), 1), axis=0) if apart.any() else np.empty((0, 2), np.int64)
-        a, b = _forest(pairs[:, 0], pairs[:, 1])
-        return pd.DataFrame({"a": a, "b": b})
-
-    stars = texts.mapInArrow(index, "bucket int, keys binary, owners binary, names binary").groupBy("bucket").applyInPandas(meet, "a long, b long")
+        of = np.cumsum(new) - 1
+        count = np.bincount(of)[of]
+        shared = count > 1
+        bucket = int(pdf["bucket"].iloc[0])
+        return pd.DataFrame({"key": keys[shared].astype(np.int64) | bucket << 32, "node": nodes_[shared], "band": bands[shared], "spare": spare[shared], "count": count[shared].astype(np.int32)})
+
+    packed = texts.mapInArrow(index, "bucket int, keys binary, owners binary, names binary, bands binary, spare binary")
+    shared = staging.write(packed.groupBy("bucket").applyInPandas(meet, "key long, node long, band int, spare int, count int"), "shared")
+    enough = shared.groupBy("node", "band").agg(F.count("*").alias("k"), F.max("spare").alias("s")).where("k > s").select("node", "band")
+    ranked = shared.join(enough, ["node", "band"], "left_semi")
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("count"), "key"))).where("place > spare")
+    kept = staging.write(ranked.select("key", "node"), "kept")
+    pivots = kept.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
+    stars = kept.join(pivots, "key").where("node <> a").select("a", F.col("node").alias("b"))
     near = staging.write(components(stars, staging, "near").join(nodes.select("node", "rep", "n"), "node"), "candidates")
 
     sizes = near.groupBy("component").agg(F.sum("n").alias("tokens"))
