@@ -2,14 +2,392 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+from colloquy.functions.fixed import PATIENT_FORMS, SPOKEN_FORMS
+from colloquy.operators import chunks, clean, cluster, parse, punctuation, roles, sections, sentences, tree, vectors
+from colloquy.plans.preprocess import preprocess
+from colloquy.sources.tables import dialogues, spread, table, tagged_turns
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _dialogues(spark: SparkSession, sf: str) -> DataFrame:
+    return dialogues(table(spark, sf, "conversations"))
+
+
+# SQL of the shared views
+
+TAG = "CASE role WHEN 'assistant' THEN '[doctor]' WHEN 'user' THEN '[patient]' ELSE '[patient_guest]' END"
+DIALOGUES = f"d AS (SELECT conv_id, string_agg({TAG} || ' ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id)"
+UTTERANCES = f"""u AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, {TAG} AS role, ' ' || replace(text, chr(10), ' ') AS text FROM conversations)"""
+
+
+def _replaced(column: str) -> str:
+    for k, v in SPOKEN_FORMS:
+        column = f"replace({column}, {_text(k)}, {_text(v)})"
+    return column
+
+
+def _collapsed(column: str) -> str:
+    """Words and gaps in turn; a word equal to the one before goes, with the gap between."""
+    t = rf"regexp_extract_all({column}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+    word = lambda i: rf"regexp_matches({i}, '^[\p{{L}}\p{{N}}_]')"
+    return f"list_aggregate(list_filter({t}, lambda x, i: NOT ((i > 2 AND {word('x')} AND x = {t}[i - 2]) OR (i > 1 AND {word(f'{t}[i + 1]')} AND {t}[i + 1] = {t}[i - 1] AND i < len({t})))), 'string_agg', '')"
+
+
+def _rewritten(column: str) -> str:
+    body = rf"lower(regexp_replace(substr(l, 10), '^\s+|\s+$', '', 'g'))"
+    for k, v in PATIENT_FORMS:
+        if "\\b" in k:
+            core = k.replace("\\b", "")
+            body = rf"regexp_replace({body}, '(^|[^\p{{L}}\p{{N}}_])' || {_text(core)} || '([^\p{{L}}\p{{N}}_]|$)', '\1' || {_text(v)} || '\2', 'g')"
+        else:
+            body = f"regexp_replace({body}, {_text(k)}, {_text(v)}, 'g')"
+    return f"array_to_string(list_transform(string_split({column}, chr(10)), lambda l: CASE WHEN starts_with(l, '[patient]') THEN '[patient] ' || {body} ELSE l END), chr(10))"
+
+
+POINT = "CASE WHEN NOT regexp_matches({0}, '[,;!?]') AND contains({0}, ' . ') THEN replace({0}, ' . ', ' point ') ELSE {0} END"
+
+
+# Cleaning
+
+
+@_query(f"SELECT doc_id, {_replaced('text')} AS cleaned FROM documents")
+def clean_spoken_forms(spark, sf):
+    return _docs(spark, sf).select("doc_id", clean.replace_all(F.col("text")).alias("cleaned"))
+
+
+@_query(f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS t FROM documents) SELECT doc_id, coalesce(array_to_string(list_filter(t, lambda x, i: NOT ((i > 2 AND regexp_matches(x, '^[\\p{{L}}\\p{{N}}_]') AND x = t[i - 2]) OR (i > 1 AND i < len(t) AND regexp_matches(t[i + 1], '^[\\p{{L}}\\p{{N}}_]') AND t[i + 1] = t[i - 1]))), ''), '') AS collapsed FROM t")
+def clean_repeats(spark, sf):
+    return _docs(spark, sf).select("doc_id", clean.collapse_repeats(F.col("text")).alias("collapsed"))
+
+
+@_query(f"SELECT doc_id, {POINT.format('text')} AS said, NOT regexp_matches(text, '[,;!?]') AND contains(text, ' . ') AS only_dots, regexp_matches(text, '[?,;!]') AS has_marks, CASE WHEN regexp_matches(text, '^[.,]') THEN substr(text, 3) ELSE text END AS uncut FROM documents")
+def clean_marks(spark, sf):
+    c = F.col("text")
+    return _docs(spark, sf).select("doc_id", clean.spoken_point(c).alias("said"), clean.only_dots(c).alias("only_dots"), punctuation.has_marks(c).alias("has_marks"), clean.cut_leading_mark(c).alias("uncut"))
+
+
+@_query(f"WITH {DIALOGUES} SELECT conv_id, {_rewritten('dialogue')} AS rewritten FROM d")
+def clean_patient_lines(spark, sf):
+    return _dialogues(spark, sf).select("conv_id", clean.rewrite_patient(F.col("dialogue")).alias("rewritten"))
+
+
+_STEP = f"""WITH {DIALOGUES},
+s AS (SELECT conv_id, dialogue, {_replaced(POINT.format('dialogue'))} AS r FROM d),
+t AS (SELECT conv_id, dialogue, regexp_extract_all(r, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS t FROM s),
+c AS (SELECT conv_id, dialogue, array_to_string(list_filter(t, lambda x, i: NOT ((i > 2 AND regexp_matches(x, '^[\\p{{L}}\\p{{N}}_]') AND x = t[i - 2]) OR (i > 1 AND i < len(t) AND regexp_matches(t[i + 1], '^[\\p{{L}}\\p{{N}}_]') AND t[i + 1] = t[i - 1]))), '') AS c FROM t),
+k AS (SELECT conv_id, dialogue, {_rewritten('c')} AS clean_dialogue FROM c)"""
+
+
+@_query(_STEP + " SELECT conv_id, clean_dialogue FROM k")
+def clean_dialogues(spark, sf):
+    return clean.clean_spoken(_dialogues(spark, sf), "dialogue").select("conv_id", "clean_dialogue")
+
+
+_PARSED = r"""list_transform(list_filter(string_split({0}, chr(10)), lambda l: l <> '' AND regexp_matches(l, '\[[^\n]*?\] ')),
+lambda l: {{'role': rtrim(regexp_extract(l, '\[[^\n]*?\] ')), 'text': substr(l, 1, instr(l, rtrim(regexp_extract(l, '\[[^\n]*?\] '))) - 1) || substr(l, instr(l, rtrim(regexp_extract(l, '\[[^\n]*?\] '))) + length(rtrim(regexp_extract(l, '\[[^\n]*?\] '))))}})"""
+
+
+@_query(
+    _STEP
+    + f""", p AS (SELECT conv_id, clean_dialogue, {_PARSED.format('clean_dialogue')} AS u FROM k),
+r AS (SELECT conv_id, clean_dialogue, array_to_string(list_transform(u, lambda x: x.role || ' ' || x.text), chr(10)) AS restore_punctuation_dialogue FROM p),
+q AS (SELECT *, {_PARSED.format('restore_punctuation_dialogue')} AS v FROM r),
+n AS (SELECT *, list_sum(list_transform(list_filter(v, lambda x: x.role = '[doctor]'), lambda x: length(x.text) - length(replace(x.text, ',', '')))) AS nd,
+      list_sum(list_transform(list_filter(v, lambda x: x.role <> '[doctor]'), lambda x: length(x.text) - length(replace(x.text, ',', '')))) AS no, list_filter(v, lambda x: x.role <> '[doctor]')[-1].role AS other FROM q)
+SELECT conv_id, clean_dialogue, restore_punctuation_dialogue,
+  array_to_string(list_transform(v, lambda x: CASE WHEN coalesce(nd, 0) < coalesce(no, 0) THEN CASE WHEN x.role = '[doctor]' THEN other ELSE '[doctor]' END ELSE x.role END || x.text), chr(10)) AS fixed_role_dialogue FROM n"""
+)
+def preprocess_dialogues(spark, sf):
+    """The whole chain; commas stand for question marks, of which the tables have none."""
+    return preprocess(_dialogues(spark, sf), "dialogue", mark=",").drop("dialogue")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return preprocess(_dialogues(spark, sf), "dialogue")
+
+
+# Parsing
+
+
+@_query(f"WITH {UTTERANCES} SELECT conv_id, pos, role, text FROM u")
+def parse_tagged(spark, sf):
+    return parse.rows(_dialogues(spark, sf), "dialogue")
+
+
+@_query(f"WITH l AS (SELECT conv_id, turn, {TAG} || ' ' || split_part(text, chr(10), 1) AS line FROM conversations) SELECT conv_id, count(*) AS n_utterances, string_agg(line, chr(10) ORDER BY turn) AS joined FROM l GROUP BY conv_id")
+def parse_many_lines(spark, sf):
+    """Lines without a tag go."""
+    said = parse.utterances(F.col("dialogue"))
+    return dialogues(table(spark, sf, "conversations"), flatten=False).select("conv_id", F.size(said).cast("long").alias("n_utterances"), parse.join(said).alias("joined"))
+
+
+@_query(f"WITH x AS (SELECT conv_id, turn, upper(role[1]) || role[2:] AS r, replace(replace(text, chr(10), ' '), ',', ';') AS t FROM conversations) SELECT conv_id, count(*) AS n_utterances, string_agg(r || ':  ' || t, chr(10) ORDER BY turn) AS joined FROM x GROUP BY conv_id")
+def parse_named(spark, sf):
+    """Lines of `Role: text` with CRLF ends, and an exception that rewrites commas."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.initcap("role"), F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x.line), "\r\n")
+    said = parse.utterances(F.col("dialogue"), "A", [(",", ";")])
+    return rows.groupBy("conv_id").agg(text.alias("dialogue")).select("conv_id", F.size(said).cast("long").alias("n_utterances"), parse.join(said, "A", spaced=True).alias("joined"))
+
+
+# Punctuation
+
+
+@_query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(array_to_string(list_transform(regexp_extract_all(text, '[.,;:!?]|[^.,;:!?]+'), lambda x, i:
+  CASE WHEN regexp_matches(x, '^[.,;:!?]$')
+        AND NOT regexp_matches(coalesce(regexp_extract_all(text, '[.,;:!?]|[^.,;:!?]+')[i - 1], ''), '\p{Nd}$') AND NOT regexp_matches(coalesce(regexp_extract_all(text, '[.,;:!?]|[^.,;:!?]+')[i + 1], ''), '^\p{Nd}') THEN '' ELSE x END), ''), '[\t-\r\x1c-\x20]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, len(w)::BIGINT AS n_words, md5(array_to_string(w, ' ')) AS restored_md5 FROM w""".replace("regexp_extract_all(text, '[.,;:!?]|[^.,;:!?]+')[", "q["). replace("WITH w AS (SELECT doc_id, ", "WITH q AS (SELECT doc_id, text, regexp_extract_all(text, '[.,;:!?]|[^.,;:!?]+') AS q FROM documents), w AS (SELECT doc_id, ").replace("AS w FROM documents)", "AS w FROM q)"))
+def restore_plain(spark, sf):
+    c = F.col("text")
+    return _docs(spark, sf).select("doc_id", F.size(punctuation.bare_words(c)).cast("long").alias("n_words"), F.md5(punctuation.plain(c)).alias("restored_md5"))
+
+
+@_query(r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\t-\r\x1c-\x20]+'), lambda x: x <> '')) AS n FROM documents),
+c AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 0 WHEN n <= 230 THEN 1 ELSE ((n - 1) // 225 + 1) END AS k FROM w),
+d AS (SELECT doc_id, n, k - CASE WHEN k > 1 AND n - 225 * (k - 1) <= 5 THEN 1 ELSE 0 END AS k FROM c)
+SELECT doc_id, k::BIGINT AS n_chunks, CASE WHEN k = 0 THEN 0 ELSE least(230, n - 225 * (k - 1)) END::BIGINT AS last_chunk, n::BIGINT AS n_given FROM d""")
+def restore_chunks(spark, sf):
+    from colloquy.functions.text import split_words
+
+    runs = punctuation.chunks(split_words(F.col("text")))
+    df = _docs(spark, sf).select("doc_id", runs.alias("r"))
+    return df.select("doc_id", F.size("r").cast("long").alias("n_chunks"), F.coalesce(F.size(F.try_element_at("r", F.lit(-1))), F.lit(0)).cast("long").alias("last_chunk"), F.aggregate(punctuation.contributed(F.col("r")), F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_given"))
+
+
+@_query(r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(w, lambda x, i: x || CASE i % 4 WHEN 0 THEN '.' WHEN 1 THEN '' WHEN 2 THEN ',' ELSE '' END), ' ') AS rendered FROM t""")
+def restore_rendered(spark, sf):
+    """Labels by place: a dot, none, a comma, and one that isn't a label."""
+    from colloquy.functions.text import split_words
+
+    words = split_words(F.replace("text", F.lit("\n"), F.lit(" ")))
+    labels = F.transform(words, lambda w, i: F.element_at(F.array(F.lit("0"), F.lit(","), F.lit("9"), F.lit(".")), (i % 4 + 1).cast("int")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", punctuation.render(words, labels).alias("rendered"))
+
+
+# Roles
+
+_ASKED = f"""{UTTERANCES}, n AS (SELECT conv_id, coalesce(sum(length(text) - length(replace(text, ',', ''))) FILTER (WHERE role = '[doctor]'), 0)::BIGINT AS by_doctor,
+  coalesce(sum(length(text) - length(replace(text, ',', ''))) FILTER (WHERE role <> '[doctor]'), 0)::BIGINT AS by_others, max_by(role, pos) FILTER (WHERE role <> '[doctor]') AS other FROM u GROUP BY conv_id)"""
+_FIXED = "CASE WHEN by_doctor >= by_others THEN role WHEN role = '[doctor]' THEN other ELSE '[doctor]' END"
+
+
+@_query(f"WITH {_ASKED} SELECT conv_id, by_doctor, by_others, other FROM n")
+def role_counts(spark, sf):
+    said = parse.utterances(F.col("dialogue"))
+    return _dialogues(spark, sf).select("conv_id", roles.asked(said, True, ",").cast("long").alias("by_doctor"), roles.asked(said, False, ",").cast("long").alias("by_others"), roles.other_role(said).alias("other"))
+
+
+@_query(f"WITH {_ASKED} SELECT conv_id, string_agg({_FIXED} || text, chr(10) ORDER BY pos) AS fixed_role_dialogue FROM u JOIN n USING (conv_id) GROUP BY conv_id")
+def role_fix_arrays(spark, sf):
+    return roles.fix_role(_dialogues(spark, sf), "dialogue", mark=",").drop("dialogue")
+
+
+@_query(f"WITH {_ASKED} SELECT conv_id, pos, role, text, {_FIXED} AS fixed_role FROM u JOIN n USING (conv_id)")
+def role_fix_rows(spark, sf):
+    return roles.fix_role_rows(parse.rows(_dialogues(spark, sf), "dialogue"), "conv_id", "pos", ",")
+
+
+# Sentences, tokens, chunks
+
+
+@_query(r"""SELECT conv_id, turn, (1 + len(regexp_extract_all(text, '[.?]\s')) - len(regexp_extract_all(text, '[\p{L}\p{N}_]\.[\p{L}\p{N}_][.?]\s')) - len(regexp_extract_all(text, '[A-Z][a-z]\.\s')))::BIGINT AS n_sentences,
+len(list_filter(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: NOT (starts_with(w, '[') OR ends_with(w, ']')))) >= 3 AS meaningful,
+len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))::BIGINT AS n_tokens FROM conversations""")
+def sentence_counts(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(sentences.split_sentences(c)).cast("long").alias("n_sentences"), sentences.meaningful(c).alias("meaningful"), F.size(sentences.tokens(c)).cast("long").alias("n_tokens"))
+
+
+@_query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+m AS (SELECT conv_id, turn, i, CASE WHEN len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '' AND NOT (starts_with(w, '[') OR ends_with(w, ']')))) >= 3 THEN s ELSE '#' || s END AS s FROM l)
+SELECT conv_id, turn, string_agg(s, '|' ORDER BY i) AS marked FROM m GROUP BY conv_id, turn""")
+def sentence_noise(spark, sf):
+    found = sentences.split_sentences(F.col("text"), "#", True, lambda c: F.split(c, "\n", -1))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("marked"))
+
+
+@_query(f"""WITH {UTTERANCES} SELECT conv_id, role, count(*) AS n_utterances, sum(1 + len(regexp_extract_all(text, '[.?]\\s')) - len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]\\.[\\p{{L}}\\p{{N}}_][.?]\\s')) - len(regexp_extract_all(text, '[A-Z][a-z]\\.\\s')))::BIGINT AS n_sentences FROM u GROUP BY conv_id, role""")
+def sentence_rows(spark, sf):
+    rows = sentences.dialogue_sentences(_dialogues(spark, sf), "dialogue")
+    return rows.groupBy("conv_id", "role").agg(F.countDistinct("utt_pos").alias("n_utterances"), F.count("*").alias("n_sentences"))
+
+
+@_query(r"""WITH RECURSIVE p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda s: {'s': s, 'n': len(regexp_extract_all(s, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))}), lambda x: regexp_matches(x.s, '\S')) AS l FROM conversations),
+f AS (SELECT conv_id, turn, l, 1 AS i, 1 AS chunk, 0::BIGINT AS used, NULL::VARCHAR AS s FROM p
+  UNION ALL SELECT conv_id, turn, l, i + 1, CASE WHEN used + l[i].n > 90 THEN chunk + 1 ELSE chunk END, CASE WHEN used + l[i].n > 90 THEN l[i].n ELSE used + l[i].n END, l[i].s FROM f WHERE i <= len(l)),
+c AS (SELECT conv_id, turn, chunk, string_agg(s, ' ' ORDER BY i) AS t FROM f WHERE s IS NOT NULL GROUP BY conv_id, turn, chunk)
+SELECT conv_id, turn, count(*)::BIGINT AS n_chunks, string_agg(t, '|' ORDER BY chunk) AS chunks FROM c GROUP BY conv_id, turn""")
+def chunk_turns(spark, sf):
+    df = spread(table(spark, sf, "conversations")).select("conv_id", "turn", chunks.pack(F.col("text"), 90).alias("c"))
+    return df.where(F.size("c") > 0).select("conv_id", "turn", F.size("c").cast("long").alias("n_chunks"), F.array_join("c", "|").alias("chunks"))
+
+
+# Vectors
+
+_PAIR = "q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+_COS = "(list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))))"
+_DIFF = "list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - q[i]))"
+
+
+def _pairs(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e, e.where("vec_id = 0").select(F.col("embedding").alias("query"))
+
+
+@_query(f"WITH {_PAIR} SELECT vec_id, round(1 - {_COS.format('v', 'q')}, 6) + 0.0 AS cosine, round(list_sum({_DIFF}), 6) AS l1, round(sqrt(list_sum(list_transform({_DIFF}, lambda x: x * x))), 6) AS l2, round(list_max({_DIFF}), 6) AS linf FROM e, q")
+def vector_distances(spark, sf):
+    e, q = _pairs(spark, sf)
+    both = e.crossJoin(F.broadcast(q.limit(1)))
+    d = lambda m: F.round(vectors.distance(F.col("embedding"), F.col("query"), m), 6) + 0.0
+    return both.select("vec_id", d("cosine").alias("cosine"), d("L1").alias("l1"), d("L2").alias("l2"), d("Linf").alias("linf"))
+
+
+@_query(f"WITH {_PAIR} SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sqrt(list_sum(list_transform({_DIFF}, lambda x: x * x))), 9), vec_id)::INTEGER AS rank FROM e, q")
+def vector_nearest(spark, sf):
+    e, q = _pairs(spark, sf)
+    ranked = vectors.nearest(vectors.distances(e, q, "embedding", "query", "L2").withColumn("distance", F.round("distance", 9)), "vec_id", ["label"])
+    return ranked.select("label", "vec_id", "rank")
+
+
+@_query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: 3 * x::DOUBLE) AS v FROM embeddings) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) + 0.0 AS total, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS first FROM e")
+def vector_normalised(spark, sf):
+    v = vectors.normalise(F.transform(vectors.doubles(F.col("embedding")), lambda x: x * 3))
+    df = table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
+    return df.select("vec_id", (F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"), (F.round(F.get("v", F.lit(0)), 6) + 0.0).alias("first"))
+
+
+@_query("WITH f AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x, vec_id % 3 <> 0 AS m FROM embeddings), p AS (SELECT label, i - 1 AS i, sum(x) FILTER (WHERE m) / greatest(count(*) FILTER (WHERE m), 1e-9) AS x FROM f GROUP BY label, i) SELECT label, i::INTEGER AS i, round(x, 6) + 0.0 AS pooled FROM p")
+def vector_mean_pool(spark, sf):
+    pooled = vectors.mean_pool(table(spark, sf, "embeddings"), "label", "embedding", F.col("vec_id") % 3 != 0)
+    return pooled.select("label", F.posexplode("pooled").alias("i", "x")).select("label", "i", (F.round("x", 6) + 0.0).alias("pooled"))
+
+
+@_query("WITH f AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, avg(x) AS all_mean FROM f GROUP BY label), c AS (SELECT label, i - 1 AS i, avg(x) AS x FROM f GROUP BY label, i) SELECT label, i::INTEGER AS i, round(all_mean, 6) + 0.0 AS centre_mean, round(x, 6) + 0.0 AS centre FROM c JOIN m USING (label)")
+def cluster_centres(spark, sf):
+    c = vectors.centres(table(spark, sf, "embeddings"), "label", "embedding")
+    return c.select("label", (F.round("centre_mean", 6) + 0.0).alias("centre_mean"), F.posexplode("centre").alias("i", "x")).select("label", "i", "centre_mean", (F.round("x", 6) + 0.0).alias("centre"))
+
+
+# Clusters
+
+
+@_query("WITH e AS (SELECT label, vec_id, list_transform(embedding[1:2], lambda x: x > 0) AS v FROM embeddings) SELECT label, vec_id, len(same)::BIGINT AS n_same, same[1] AS first_same FROM (SELECT label, v, list(vec_id ORDER BY vec_id) AS same FROM e GROUP BY label, v) JOIN e USING (label, v)")
+def cluster_duplicates(spark, sf):
+    """Equal vectors of a group; the vectors are the signs of two coordinates, so that there are some."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x > 0).alias("v"))
+    return cluster.duplicates(e, "label", "vec_id", "v").select("label", "vec_id", F.size("same").cast("long").alias("n_same"), F.get("same", F.lit(0)).alias("first_same"))
+
+
+@_query("WITH e AS (SELECT label, vec_id, list_filter([0, 1, 2], lambda k: abs(embedding[k + 1]) > 0.1) AS l FROM embeddings) SELECT label AS cluster_of, k::INTEGER AS label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS nodes FROM (SELECT label, vec_id, unnest(l) AS k FROM e) GROUP BY 1, 2")
+def cluster_regroup(spark, sf):
+    """Regrouping by ascending label; labels are the first coordinates over a threshold: none to three a node."""
+    own = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.abs(F.get("embedding", k)) > F.lit(0.1))
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("cluster_of"), "vec_id", own.alias("labels"))
+    return cluster.regroup(e, "cluster_of", "vec_id").select("cluster_of", "label", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+
+
+@_query("WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <= 11) SELECT conv_id, turn, '0' AS labels FROM conversations JOIN c USING (conv_id)")
+def cluster_small_groups(spark, sf):
+    """Conversations of up to 11 turns share label 0."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.length("text").cast("double"), F.col("turn").cast("double")).alias("v"))
+    few = turns.groupBy("conv_id").count().where("count <= 11").select("conv_id")
+    got = cluster.cluster(turns.join(few, "conv_id", "left_semi"), "conv_id", "turn", "v")
+    return got.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
+@_query()
+def cluster_mixtures(spark, sf):
+    """The mixture itself, a group a label; no SQL (tests hold its invariants)."""
+    return cluster.cluster(table(spark, sf, "embeddings").repartition("label"), "label", "vec_id", "embedding")
+
+
+# Sections and trees
+
+_SECTIONS = "f AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT label AS section_pos, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM f GROUP BY label, i) GROUP BY label), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+#: The tables' vectors are far apart, so the queries assign from a lower similarity than the default.
+_LIKE = 0.2
+_HITS = f"h AS (SELECT vec_id, section_pos FROM e, s WHERE {_COS.format('v', 'c')} >= {_LIKE})"
+
+
+def _sections(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e, vectors.centres(e, "label", "embedding").select(F.col("label").alias("section_pos"), F.col("centre").alias("section_vector"))
+
+
+@_query(f"WITH {_SECTIONS}, {_HITS} SELECT section_pos, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS nodes FROM h GROUP BY section_pos")
+def section_assign(spark, sf):
+    e, s = _sections(spark, sf)
+    return sections.assign(e, s, "vec_id", "embedding", _LIKE).select("section_pos", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+
+
+@_query(f"WITH {_SECTIONS}, {_HITS}, m AS (SELECT vec_id, count(*) AS m FROM h GROUP BY vec_id) SELECT k::INTEGER AS section_pos, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS nodes FROM (SELECT vec_id, unnest(range(0, m)) AS k FROM m) GROUP BY k")
+def section_assign_ordinal(spark, sf):
+    e, s = _sections(spark, sf)
+    return sections.assign(e, s, "vec_id", "embedding", _LIKE, compat="ordinal").select("section_pos", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+
+
+@_query("SELECT doc_id, (unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1)::INTEGER AS node_index, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS text FROM documents")
+def tree_nodes(spark, sf):
+    return tree.nodes(_docs(spark, sf), "text")
+
+
+@_query("SELECT conv_id, string_agg(regexp_replace(replace(text, chr(10), ' '), ' $', '') || chr(10) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def tree_text(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(tree.joined_text(F.col("turn"), F.col("text")).alias("text"))
+
+
+@_query("SELECT turn AS node, max(conv_id) AS layer FROM conversations GROUP BY turn")
+def tree_layers(spark, sf):
+    layers = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("layer")).agg(F.collect_list("turn").alias("nodes"))
+    return tree.node_layers(layers)
+
+
+@_query("SELECT conv_id AS node_id, string_agg(DISTINCT turn::VARCHAR, ',' ORDER BY turn::VARCHAR) AS children FROM conversations GROUP BY conv_id")
+def tree_children(spark, sf):
+    rows = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("node_id")).agg(F.collect_list("turn").alias("children"))
+    return tree.children(rows).select("node_id", F.array_join(F.array_sort(F.transform("children", lambda x: x.cast("string"))), ",").alias("children"))
+
+
+# Providers: rows only
+
+
+@_query()
+def embed_turns(spark, sf):
+    lines = tagged_turns(table(spark, sf, "conversations"))
+    return lines.select("conv_id", "turn", vectors.hashed_embedder()(F.col("line"))[0].alias("embedding"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query()
+def summarise_dialogues(spark, sf):
+    return _dialogues(spark, sf).select("conv_id", sections.summarise(F.col("dialogue")).alias("summary"))
