@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from colloquy.llm.common import Staging, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
-SHARD_BYTES, BLOCK, BLOCK_TERMS = 24 << 20, 64, 1_500_000
+SHARD_BYTES, BLOCK, BLOCK_TERMS = 16 << 20, 64, 1_500_000
 #: Queries scored together; the share of a shard's texts from which a term is frequent; what single precision may miss.
 TOGETHER, DENSE, SLACK = 256, 0.03, 2e-4
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -37,7 +37,7 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 1
 
 class _Terms(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -85,10 +85,10 @@ class Shard:
     def __init__(self, row: dict, mean: float):
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, self.known, lengths = read("ids", np.int64), read("known", bool), read("lengths", np.int64)
-        self.terms, self.docs, tf = read("terms", np.uint64), read("docs", np.int32).astype(np.int64), read("tfs", np.int32)
+        self.terms, self.docs, tf = read("terms", np.uint64), read("docs", np.int32), read("tfs", np.int32)
         self.impact = (K1 + 1) * tf / (tf + K1 * (1 - B + B * lengths[self.docs] / mean))
         starts = np.cumsum(read("frequencies", np.int32), dtype=np.int64)
-        block, owner = self.docs // BLOCK, np.repeat(np.arange(len(self.terms)), read("frequencies", np.int32))
+        block, owner = self.docs // BLOCK, np.repeat(np.arange(len(self.terms), dtype=np.int32), read("frequencies", np.int32))
         self.at = np.flatnonzero(np.concatenate((np.ones(min(1, len(block)), bool), (block[1:] != block[:-1]) | (owner[1:] != owner[:-1]))))
         self.length = np.diff(np.append(self.at, len(block)))
         self.block, self.most = block[self.at], np.maximum.reduceat(self.impact, self.at) if len(block) else self.impact
@@ -228,8 +228,9 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
             names, at, place, term, weight = sent.value
             best, found = [np.empty(0)] * len(names), [np.empty((0, 2), np.int64)] * len(names)
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, mean)
+                for i in range(batch.num_rows):
+                    shard = None  # one at a time
+                    shard = Shard(batch.slice(i, 1).to_pylist()[0], mean)
                     where = np.searchsorted(shard.terms, term)
                     where = np.where(shard.terms[np.minimum(where, max(0, len(shard.terms) - 1))] == term, where, -1) if len(shard.terms) else np.full(len(term), -1)
                     for a in range(0, len(names), TOGETHER):
