@@ -58,25 +58,44 @@ def keep(text: Column) -> Column:
 
 
 def model(labeller_factory: Callable[[], Labeller]) -> Callable[[Column], Column]:
-    """A provider from a function that labels the words of each run; made once a Python worker."""
+    """A provider from a function that labels the words of each run; made once a Python worker.
+
+    Spark takes no Python inside higher-order functions, so the provider's `dialogue` restores all
+    utterances of a row in one call.
+    """
     held: list[Labeller] = []
 
-    @F.pandas_udf("array<array<string>>")
-    def label(runs: pd.Series) -> pd.Series:
+    def rendered(runs) -> str:
         if not held:
             held.append(labeller_factory())
-        return runs.map(lambda r: None if r is None else held[0]([list(w) for w in r]))
+        runs = [list(w) for w in runs]
+        out = []
+        for i, (words, labels) in enumerate(zip(runs, held[0](runs))):
+            n = len(words) if i == len(runs) - 1 else len(words) - CHUNK_OVERLAP
+            out += [w + (m if m in tuple(MARKS) else "") for w, m in zip(words[:n], labels)]
+        return " ".join(out)
+
+    @F.pandas_udf("string")
+    def one(runs: pd.Series) -> pd.Series:
+        return runs.map(lambda r: None if r is None else rendered(r))
+
+    @F.pandas_udf("string")
+    def many(roles: pd.Series, runs: pd.Series, between: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else "\n".join(role + gap + rendered(own) for role, own in zip(r, all_runs)) for r, all_runs, gap in zip(roles, runs, between)], dtype=object)
 
     def restore(text: Column) -> Column:
-        runs = chunks(bare_words(text))
-        return render(F.flatten(contributed(runs)), F.flatten(contributed(label(runs))))
+        return F.when(text.isNotNull(), one(chunks(bare_words(text))))
 
+    restore.dialogue = lambda said, between: many(F.transform(said, lambda u: u.role), F.transform(said, lambda u: chunks(bare_words(u.text))), F.lit(between))
     return restore
 
 
 def restore_dialogue(text: Column, task: str = "C", enforce: bool = True, provider: Callable[[Column], Column] = plain, exceptions=None) -> Column:
     said = parse.utterances(text, task, exceptions)
-    restored = parse.join(F.transform(said, lambda u: F.struct(u.role.alias("role"), provider(u.text).alias("text"))), task, spaced=True)
+    if hasattr(provider, "dialogue"):
+        restored = provider.dialogue(said, " " if task == "C" else ": ")
+    else:
+        restored = parse.join(F.transform(said, lambda u: F.struct(u.role.alias("role"), provider(u.text).alias("text"))), task, spaced=True)
     return restored if enforce else F.when(has_marks(text), text).otherwise(restored)
 
 
