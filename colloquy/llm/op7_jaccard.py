@@ -43,7 +43,7 @@ from colloquy.llm.graph import components
 #: Shingles of a verification task; keys of a bucket; nodes up to which the labels are broadcast.
 CAP, BUCKET_KEYS, SMALL = 2_000_000, 1_000_000, 500_000
 #: What a weak segment costs in keys.
-WEAK_COST = 20.0
+WEAK_COST = 2.0
 WORDS_KEPT = 1_000_000
 
 
