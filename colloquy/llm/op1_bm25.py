@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from colloquy.llm.common import Staging, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
-SHARD_BYTES, BLOCK, BLOCK_TERMS = 16 << 20, 64, 1_500_000
+SHARD_BYTES, BLOCK, BLOCK_TERMS = 24 << 20, 64, 2_500_000
 #: Queries scored together; the share of a shard's texts from which a term is frequent; what single precision may miss.
 TOGETHER, DENSE, SLACK = 256, 0.03, 2e-4
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
