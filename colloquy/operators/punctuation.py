@@ -80,20 +80,24 @@ def model(labeller_factory: Callable[[], Labeller]) -> Callable[[Column], Column
         return runs.map(lambda r: None if r is None else rendered(r))
 
     @F.pandas_udf("string")
-    def many(roles: pd.Series, runs: pd.Series, between: pd.Series) -> pd.Series:
+    def many(roles: pd.Series, runs: pd.Series, between: pd.Series, wrong: pd.Series) -> pd.Series:
+        if (wrong > 0).any():
+            raise ValueError("several roles in one line")
         return pd.Series([None if r is None else "\n".join(role + gap + rendered(own) for role, own in zip(r, all_runs)) for r, all_runs, gap in zip(roles, runs, between)], dtype=object)
 
     def restore(text: Column) -> Column:
         return F.when(text.isNotNull(), one(chunks(bare_words(text))))
 
-    restore.dialogue = lambda said, between: many(F.transform(said, lambda u: u.role), F.transform(said, lambda u: chunks(bare_words(u.text))), F.lit(between))
+    restore.dialogue = lambda said, between, wrong: many(F.transform(said, lambda u: u.role), F.transform(said, lambda u: chunks(bare_words(u.text))), F.lit(between), F.coalesce(wrong, F.lit(0)))
     return restore
 
 
 def restore_dialogue(text: Column, task: str = "C", enforce: bool = True, provider: Callable[[Column], Column] = plain, exceptions=None) -> Column:
     said = parse.utterances(text, task, exceptions)
     if hasattr(provider, "dialogue"):
-        restored = provider.dialogue(said, " " if task == "C" else ": ")
+        # Python looks for lines of several tags itself
+        wrong = parse.invalid_lines(parse.apply_exceptions(text, exceptions)) if task == "C" else F.lit(0)
+        restored = provider.dialogue(parse.utterances(text, task, exceptions, "keep"), " " if task == "C" else ": ", wrong)
     else:
         restored = parse.join(F.transform(said, lambda u: F.struct(u.role.alias("role"), provider(u.text).alias("text"))), task, spaced=True)
     return restored if enforce else F.when(has_marks(text), text).otherwise(restored)

@@ -111,13 +111,18 @@ def test_words_and_chunks(apply):
         assert sum(map(len, given)) == n
 
 
+def test_python_provider_on_dialogues(spark):
+    upper = punctuation.model(lambda: lambda runs: [["." if w == "end" else "0" for w in r] for r in runs])
+    two = spark.createDataFrame([("[doctor] the end ,\n[patient] ok .",), (None,)], "d string")
+    assert [r.restore_punctuation_dialogue for r in punctuation.restore_punctuation(two, "d", provider=upper).collect()] == ["[doctor] the end.\n[patient] ok", None]
+
+
 def test_render_and_providers(apply, spark):
     words, labels = F.array(*map(F.lit, "abcde")), F.array(*map(F.lit, ["0", ",", ".", "x", "-"]))
     assert spark.range(1).select(punctuation.render(words, labels).alias("r")).first().r == "a b, c. d e-"
     upper = punctuation.model(lambda: lambda runs: [["." if w == "end" else "0" for w in r] for r in runs])
     assert apply(upper, "the end , is near " + "x " * 300)[:14] == "the end. is ne"
     assert apply(upper, "x " * 400 + "end").count("x") == 400 and apply(upper, None, "") == [None, ""]
-    assert apply(lambda c: punctuation.restore_dialogue(c, provider=upper), "[doctor] the end ,\n[patient] ok .", None) == ["[doctor] the end.\n[patient] ok", None]
     assert apply(lambda c: punctuation.restore_dialogue(c), "[doctor] hi , you ?\n[patient] ok .") == "[doctor] hi you\n[patient] ok"
     assert apply(lambda c: punctuation.restore_dialogue(c, enforce=False), "[doctor] a , b", "[doctor]  a . b") == ["[doctor] a , b", "[doctor] a b"]
     assert providers.get("punctuation", "keep") is punctuation.keep
