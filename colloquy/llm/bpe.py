@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from colloquy.llm.common import RollingHash, ragged
+from colloquy.llm.common import RollingHash, cache, ragged
 
 #: Piece length in bytes from which the heap takes over.
 LONG = 512
 #: Distinct chunks and pieces that a worker keeps.
-CACHE, PIECES = 1_000_000, 500_000
+CACHE, PIECES = 700_000, 400_000
 #: A space beside other white space, or white space at the end.
 UNEVEN = re.compile(r"\s | \s|\s\Z")
 #: ASCII white space; first bytes of other white space in UTF-8.
@@ -332,3 +332,6 @@ def load_ranks(path: str, pattern: str) -> ByteBPE:
 def cached(path: str, pattern: str) -> ChunkCache:
     coder = load_ranks(path, pattern)
     return ChunkCache(PieceCache(coder.pattern, lambda new: coder.encode_pieces([p.encode() for p in new])))
+
+
+cache("bpe", cached.cache_clear)

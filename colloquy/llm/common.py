@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,21 @@ class Staging:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(owner: str, clear: Callable[[], None]) -> None:
+    """Registers how to empty an operator's per-worker cache."""
+    _caches[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """Empties the caches of all other operators: workers are reused, and their memory is bounded."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts sum to about `most` bytes, one row at least."""
     if not batch.num_rows:

@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from colloquy.llm import bpe
-from colloquy.llm.common import read_table, slices, tune
+from colloquy.llm.common import claim, read_table, slices, tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,6 +59,7 @@ def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokeni
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
+        claim("bpe")
         cache, coder = bpe.cached(path, pattern), bpe.load_ranks(path, pattern)
         decimal = [str(i) for i in range(len(coder.bytes_of))]
         for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from colloquy.llm.common import Staging, ragged, read_table, tune
+from colloquy.llm.common import Staging, cache, claim, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
 SHARD_BYTES, BLOCK, BLOCK_TERMS = 24 << 20, 64, 2_500_000
@@ -44,6 +44,7 @@ class _Terms(dict):
 
 
 _terms = _Terms()
+cache("bm25", _terms.clear)
 
 
 def terms_of(text: bytes | None) -> np.ndarray:
@@ -170,6 +171,7 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
     spark = df.sparkSession
 
     def index(batches):
+        claim("bm25")
         held, size = [], 0
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -225,6 +227,7 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
         sent = spark.sparkContext.broadcast((names, at, np.where(there, place, -1), term, weight))
 
         def run(batches, sent=sent, mean=(words or 1) / max(1, rows)):
+            claim("search")
             names, at, place, term, weight = sent.value
             best, found = [np.empty(0)] * len(names), [np.empty((0, 2), np.int64)] * len(names)
             for batch in batches:

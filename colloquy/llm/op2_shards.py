@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.bpe import ChunkCache, PieceCache
-from colloquy.llm.common import Staging, ragged, read_table, slices, tune
+from colloquy.llm.common import Staging, cache, claim, ragged, read_table, slices, tune
 from colloquy.llm.mph import Index
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
@@ -87,6 +87,9 @@ def _cache(path: str) -> tuple[ChunkCache, int]:
     return ChunkCache(PieceCache(regex.compile(public_tokenizers.PATTERN), encoder.encode)), encoder.width
 
 
+cache("shards", _cache.cache_clear)
+
+
 def _shard(part: int, seq: int, before: int, keys: list, ids: np.ndarray, counts: np.ndarray, width: int) -> dict:
     starts = np.cumsum(counts) - counts
     known = [i for i, k in enumerate(keys) if k is not None and (i == 0 or keys[i - 1] != k)]
@@ -101,6 +104,7 @@ def write_shards(df: DataFrame, staging: Staging, name: str, key: str = "doc_id"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches):
+        claim("shards")
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         keys, held, counts, width = [], [], [], _cache(path)[1]
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.list_(pa.int64())), ("others", pa.list_(pa.int64())), ("index", pa.binary())])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm.common import RollingHash, Staging, mix64, ragged, read_table, tune
+from colloquy.llm.common import RollingHash, Staging, claim, mix64, ragged, read_table, tune
 
 LENGTH, TRIGGER, SPACING, NEAR = 200, 16, 24, 100
 SHARD, RANGE_KEYS = 1 << 20, 1 << 20
@@ -168,6 +168,7 @@ _DONE = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("n_bytes",
 
 
 def _pack(batches):
+    claim("repeats")
     part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
     schema = pa.schema([("shard", pa.int64()), ("names", _NAMES), ("copies", pa.list_(pa.int64())), ("lengths", pa.binary()), ("body", pa.binary())])
 

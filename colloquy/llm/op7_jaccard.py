@@ -37,14 +37,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from colloquy.llm.common import Staging, mix64, read_table, slices, tune
+from colloquy.llm.common import Staging, cache, claim, mix64, read_table, slices, tune
 from colloquy.llm.graph import components
 
 #: Shingles of a verification task; keys of a bucket; nodes up to which the labels are broadcast.
 CAP, BUCKET_KEYS, SMALL = 2_000_000, 1_000_000, 500_000
 #: What a weak segment costs in keys.
 WEAK_COST = 2.0
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 
 
 class _Words(dict):
@@ -56,6 +56,7 @@ class _Words(dict):
 
 
 _words = _Words()
+cache("jaccard", _words.clear)
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -180,6 +181,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     texts = df.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def summarise(batches):
+        claim("jaccard")
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t, k) for t in part.column("text").to_pylist()]
@@ -196,6 +198,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     buckets = 1 + int(total * 6 * (q - p) / (q + p) / BUCKET_KEYS)
 
     def index(batches):
+        claim("jaccard")
         for batch in batches:
             for part in slices(batch, "text"):
                 seen, sets = {}, []
@@ -268,6 +271,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     chosen = texts.join(tasks, texts.doc_id.eqNullSafe(tasks.rep))
 
     def sets_of(batches):
+        claim("jaccard")
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [shingles(t, k).tobytes() for t in part.column("text").to_pylist()]
@@ -280,6 +284,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     shipped = shipped.select("component", "node", "shingles", F.explode("tasks").alias("t")).select("component", "node", "shingles", "t.*")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("verify")
         a, b = [], []
         for _, group in pdf.drop_duplicates("node").groupby("component", sort=False):
             names = group["node"].to_numpy()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from colloquy.llm.common import Staging, read_table, slices, tune
+from colloquy.llm.common import Staging, cache, claim, read_table, slices, tune
 
 #: Rows that the scorer is fitted on at most; size of the hashed space; words from which ratios count.
 TRAIN_ROWS, SPACE, ENOUGH = 10_000, 1 << 12, 20
@@ -113,7 +113,7 @@ class _Shapes(dict):
     """Words to a place in the hashed space, by their shape."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         shape = re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[0-9]+", b"0", word)))
         at = self[word] = xxhash.xxh32_intdigest(re.sub(rb"(.)\1+", rb"\1\1", shape)[:40]) % SPACE
@@ -121,6 +121,7 @@ class _Shapes(dict):
 
 
 _shapes = _Shapes()
+cache("quality", _shapes.clear)
 
 
 def features(words: list[bytes], f: Figures) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +162,7 @@ def fit(df: DataFrame, staging: Staging, most: int = TRAIN_ROWS) -> Model:
     texts = df.select(F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
 
     def look(batches):
+        claim("quality")
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [votes(figures(w, t)) if (w := (t or b"").split()) else -1 for t in part.column("text").to_pylist()]
@@ -199,6 +201,7 @@ def classify(df: DataFrame, model: Model) -> DataFrame:
         raise ValueError(f"columns exist: {sorted(clash)}")
 
     def run(batches):
+        claim("quality")
         names = [name for name, *_ in LABELLERS]
         for batch in batches:
             for part in slices(batch, "text"):
