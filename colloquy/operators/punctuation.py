@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colloquy.functions.fixed import CHUNK_OVERLAP, CHUNK_WORDS
 from colloquy.functions.text import split_words
@@ -60,8 +61,8 @@ def keep(text: Column) -> Column:
 def model(labeller_factory: Callable[[], Labeller]) -> Callable[[Column], Column]:
     """A provider from a function that labels the words of each run; made once a Python worker.
 
-    Spark takes no Python inside higher-order functions, so the provider's `dialogue` restores all
-    utterances of a row in one call.
+    Spark takes no Python inside higher-order functions, so restore_punctuation hands such a provider
+    all utterances of a row at once.
     """
     held: list[Labeller] = []
 
@@ -79,31 +80,37 @@ def model(labeller_factory: Callable[[], Labeller]) -> Callable[[Column], Column
     def one(runs: pd.Series) -> pd.Series:
         return runs.map(lambda r: None if r is None else rendered(r))
 
-    @F.pandas_udf("string")
-    def many(roles: pd.Series, runs: pd.Series, between: pd.Series, wrong: pd.Series) -> pd.Series:
-        if (wrong > 0).any():
-            raise ValueError("several roles in one line")
-        return pd.Series([None if r is None else "\n".join(role + gap + rendered(own) for role, own in zip(r, all_runs)) for r, all_runs, gap in zip(roles, runs, between)], dtype=object)
-
     def restore(text: Column) -> Column:
         return F.when(text.isNotNull(), one(chunks(bare_words(text))))
 
-    restore.dialogue = lambda said, between, wrong: many(F.transform(said, lambda u: u.role), F.transform(said, lambda u: chunks(bare_words(u.text))), F.lit(between), F.coalesce(wrong, F.lit(0)))
+    restore.rendered = rendered
     return restore
 
 
 def restore_dialogue(text: Column, task: str = "C", enforce: bool = True, provider: Callable[[Column], Column] = plain, exceptions=None) -> Column:
     said = parse.utterances(text, task, exceptions)
-    if hasattr(provider, "dialogue"):
-        # Python looks for lines of several tags itself
-        wrong = parse.invalid_lines(parse.apply_exceptions(text, exceptions)) if task == "C" else F.lit(0)
-        restored = provider.dialogue(parse.utterances(text, task, exceptions, "keep"), " " if task == "C" else ": ", wrong)
-    else:
-        restored = parse.join(F.transform(said, lambda u: F.struct(u.role.alias("role"), provider(u.text).alias("text"))), task, spaced=True)
+    if hasattr(provider, "rendered"):
+        raise ValueError("a Python provider restores dialogues on frames only: restore_punctuation")
+    restored = parse.join(F.transform(said, lambda u: F.struct(u.role.alias("role"), provider(u.text).alias("text"))), task, spaced=True)
     return restored if enforce else F.when(has_marks(text), text).otherwise(restored)
 
 
 def restore_punctuation(df: DataFrame, dialogue_column: str, enforce: bool = True, provider: Callable[[Column], Column] = plain) -> DataFrame:
     """Adds `restore_punctuation_dialogue`."""
     require_columns(df, dialogue_column)
-    return df.withColumn("restore_punctuation_dialogue", restore_dialogue(F.col(dialogue_column), "C", enforce, provider))
+    text, name = F.col(dialogue_column), "restore_punctuation_dialogue"
+    if not hasattr(provider, "rendered"):
+        return df.withColumn(name, restore_dialogue(text, "C", enforce, provider))
+    said, rendered = parse.utterances(text), provider.rendered
+    parts = {"roles__": F.transform(said, lambda u: u.role), "runs__": F.transform(said, lambda u: chunks(bare_words(u.text))), "kept__": F.when(has_marks(text) & F.lit(not enforce), text)}
+
+    added = list(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in added))
+            out = [kept if kept is not None or roles is None else "\n".join(f"{r} {rendered(w)}" for r, w in zip(roles, runs)) for roles, runs, kept in rows]
+            whole = batch.select([c for c in batch.schema.names if c not in added])
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(out, pa.string())], [*whole.schema.names, name])
+
+    return df.withColumns(parts).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))

@@ -115,6 +115,11 @@ def test_python_provider_on_dialogues(spark):
     upper = punctuation.model(lambda: lambda runs: [["." if w == "end" else "0" for w in r] for r in runs])
     two = spark.createDataFrame([("[doctor] the end ,\n[patient] ok .",), (None,)], "d string")
     assert [r.restore_punctuation_dialogue for r in punctuation.restore_punctuation(two, "d", provider=upper).collect()] == ["[doctor] the end.\n[patient] ok", None]
+    with pytest.raises(PySparkException, match="several roles"):
+        punctuation.restore_punctuation(spark.createDataFrame([("[a] x [b] y",)], "d string"), "d", provider=upper).collect()
+    with pytest.raises(ValueError):
+        punctuation.restore_dialogue(F.col("d"), provider=upper)
+
 
 
 def test_render_and_providers(apply, spark):
