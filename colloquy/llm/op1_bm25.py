@@ -256,6 +256,7 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
         sent.unpersist()
     if not parts:
         return asked.select("query_id", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    staging.drop("index", "frequencies")
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)

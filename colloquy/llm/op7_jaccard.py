@@ -298,6 +298,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     linked = shipped.groupBy("group", "i", "j").applyInPandas(verify, "a long, b long")
     found = components(linked, staging, "links").join(nodes.select("node", "rep"), "node")
     found = staging.write(found.join(found.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "least"), "classes")
+    staging.drop("shared", "kept", "candidates")
     own = nodes.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     empty = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return sums.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
