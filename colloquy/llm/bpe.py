@@ -331,7 +331,7 @@ def load_ranks(path: str, pattern: str) -> ByteBPE:
 @lru_cache(maxsize=4)
 def cached(path: str, pattern: str) -> ChunkCache:
     coder = load_ranks(path, pattern)
-    return ChunkCache(PieceCache(coder.pattern, lambda new: coder.encode_pieces([p.encode() for p in new])))
+    return ChunkCache(PieceCache(coder.pattern, lambda new: coder.encode_pieces([p.encode() for p in new]), PIECES // 2), CACHE // 2)
 
 
 cache("bpe", cached.cache_clear)

@@ -63,7 +63,7 @@ def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokeni
         cache, coder = bpe.cached(path, pattern), bpe.load_ranks(path, pattern)
         decimal = [str(i) for i in range(len(coder.bytes_of))]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 flat, counts = cache.encode_array(part.column("text"))
                 ids, edges = flat.tolist(), np.concatenate(([0], np.cumsum(counts))).tolist()
                 said, back = [], []
