@@ -4,7 +4,7 @@ Labellers look at a whole text and vote good, bad or not at all. Votes are count
 pattern (at most 2^labellers patterns, whatever the input); EM on these counts estimates each labeller's
 accuracy and the share of good texts without any true label. A pattern's posterior labels its rows.
 A logistic scorer on hashed features (shapes of words, repetition, spread) learns the posteriors on
-the TRAIN_ROWS rows of least hash, a documented bound, and scores every row; a score below 0.5 rejects.
+the TRAIN_ROWS rows of least hash, a documented bound, and scores every row; a score below CUT rejects.
 
 Null, empty or blank text: no votes, score 0, rejected. Texts of few words: no votes on ratios. Ties and
 repeated rows: a row each, equal texts score alike. Empty table: empty result. Others' columns pass
@@ -27,6 +27,8 @@ from colloquy.llm.common import Staging, cache, claim, read_table, slices, tune
 
 #: Rows that the scorer is fitted on at most; size of the hashed space; words from which ratios count.
 TRAIN_ROWS, SPACE, ENOUGH = 10_000, 1 << 12, 20
+#: Below even, since a clean text lost costs more than a poor one kept.
+CUT = 0.4
 SYMBOLS = bytes(b"%$#&*|@^~<>{}[]=+\\_")
 GOOD, BAD = 1, 0
 
@@ -74,9 +76,9 @@ LABELLERS = (
     ("symbols", BAD, lambda f: f.words >= ENOUGH and f.symbols > 0.03, 0.9),
     ("odd_words", BAD, lambda f: f.words >= ENOUGH and f.odd > 0.15, 0.9),
     ("stutter", BAD, lambda f: f.words >= ENOUGH and f.again > 0.2, 0.9),
-    ("few_words", BAD, lambda f: f.words >= ENOUGH and f.fresh < 0.6, 0.8),
-    ("one_word", BAD, lambda f: f.words >= ENOUGH and f.top > 0.3, 0.8),
-    ("variety", GOOD, lambda f: f.words >= ENOUGH and f.again < 0.05 and f.top < 0.2 and f.fresh > 0.8, 0.7),
+    ("few_words", BAD, lambda f: f.words >= ENOUGH and f.fresh < 0.35, 0.8),
+    ("one_word", BAD, lambda f: f.words >= ENOUGH and f.top > 0.5, 0.8),
+    ("variety", GOOD, lambda f: f.words >= ENOUGH and f.again < 0.05 and f.top < 0.4 and f.fresh > 0.6, 0.7),
     ("prose", GOOD, lambda f: f.words >= ENOUGH and 0.01 < f.ends < 0.4 and f.upper < 0.3 and f.odd < 0.02 and f.again < 0.1, 0.7),
 )
 
@@ -214,7 +216,7 @@ def classify(df: DataFrame, model: Model) -> DataFrame:
                     said.append(",".join(n for j, n in enumerate(names) if f and v >> j & 1))
                     posterior.append(model.posterior.get(v, model.share) if f else 0.0)
                     score.append(model.score(words, f) if f else 0.0)
-                more = [pa.array(said), pa.array(posterior), pa.array(score, pa.float64()), pa.array([s >= 0.5 for s in score], pa.bool_())]
+                more = [pa.array(said), pa.array(posterior), pa.array(score, pa.float64()), pa.array([s >= CUT for s in score], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *own])
 
     fields = [T.StructField(n, t) for n, t in zip(own, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()))]

@@ -24,7 +24,7 @@ def _staging(spark: SparkSession, label: str) -> Staging:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier scores 0.5 or more; those without a word go."""
+    """Documents that the weak-label classifier doesn't reject; those without a word go."""
     model = op8_quality.fit(docs, _staging(spark, "stage-quality"))
     return op8_quality.classify(docs, model).where("keep").select(*docs.columns)
 
