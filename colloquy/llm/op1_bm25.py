@@ -21,15 +21,18 @@ found, each asks. Fewer matches than k: those. Empty table: empty result. Other
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.common import Staging, cache, claim, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
 SHARD_BYTES, BLOCK, BLOCK_TERMS = 24 << 20, 64, 2_500_000
+#: Tasks' lists that are merged at once.
+MERGED = 100_000
 #: Queries scored together; the share of a shard's texts from which a term is frequent; what single precision may miss.
 TOGETHER, DENSE, SLACK = 256, 0.03, 2e-4
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -247,12 +250,14 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
                         own_best, own_found = best[a:z], found[a:z]
                         shard.search(asked, own_best, own_found, k)
                         best[a:z], found[a:z] = own_best, own_found
-            sizes = [len(x) for x in best]
-            if sum(sizes):
-                pairs = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(pairs[:, 1], mask=pairs[:, 0] > 0), pa.array(np.concatenate(best))], ["query", "doc_id", "score"])
-
-        parts.append(staging.write(shards.mapInArrow(run, "query long, doc_id long, score double"), f"found-{b}"))
+            sizes = np.array([len(x) for x in best])
+            if sizes.sum():
+                some, pairs = sizes > 0, np.concatenate(found)
+                ends = np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (pa.array(pairs[:, 1]), pa.array(pairs[:, 0] > 0), pa.array(np.concatenate(best)))]
+                yield pa.RecordBatch.from_arrays([pa.array(names[some]), *lists], ["query", "ids", "unnamed", "scores"])
+
+        parts.append(staging.write(shards.mapInArrow(run, "query long, ids array<long>, unnamed array<boolean>, scores array<double>"), f"found-{b}"))
         sent.unpersist()
     if not parts:
         return asked.select("query_id", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
@@ -260,7 +265,21 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).where(F.col("rank") <= k)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The k best of each query among its tasks' best."""
+        query = np.repeat(pdf["query"].to_numpy(), pdf["scores"].map(len))
+        score, ids, null = (np.concatenate(pdf[c].to_numpy()) for c in ("scores", "ids", "unnamed"))
+        null = null.astype(bool)
+        order = np.lexsort((ids, null, -score, query))
+        query = query[order]
+        new = np.concatenate(([True], query[1:] != query[:-1]))
+        rank = np.arange(len(query)) - np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+        keep = rank <= k
+        return pd.DataFrame({"query": query[keep], "rank": rank[keep].astype(np.int32), "doc_id": pd.arrays.IntegerArray(ids[order][keep], null[order][keep]), "score": score[order][keep]})
+
+    bins = 1 + every.count() // MERGED
+    ranked = every.groupBy(F.pmod(F.xxhash64("query"), F.lit(bins))).applyInPandas(merge, "query long, rank int, doc_id long, score double")
     return ranked.join(asked.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score")
 
 
