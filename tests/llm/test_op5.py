@@ -55,3 +55,14 @@ def test_paragraphs_and_empty(spark):
 
 def test_query_equals_sql(spark):
     assert sum(r[4] for r in same(spark, "op5_substring_dedup")[1]) > 0
+
+
+def test_every_line_takes_short_ones_and_those_without_spaces(spark):
+    rows = [(1, "Short one\n東京は日本の首都です。\n\nx"), (2, "東京は日本の首都です。\n \n\nshort  ONE\nown")]
+    assert run(spark, rows, min_words=1) == [(1, rows[0][1], 4, 0, []), (2, " \n\nown", 5, 2, [(0, 11), (15, 25)])]
+
+
+def test_every_line_equals_sql(spark):
+    every, long = same(spark, "op5_every_line"), same(spark, "op5_substring_dedup")
+    at = every[0].index("n_removed")
+    assert sum(r[at] for r in every[1]) > sum(r[at] for r in long[1]) > 0
