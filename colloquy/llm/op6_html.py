@@ -6,6 +6,9 @@ heading, list item, ...) gets the ratios of its nodes, weighted by length; the b
 smoothed over their neighbours in page order and fused with what the path's tags and class, id
 and role words say (boilerplate: 0; article or main: more). Blocks over the threshold vote for the
 smallest section that holds most of their weight; its blocks are the text, boilerplate excepted.
+Outside article and main that section widens to the lowest element around all blocks of prose (with
+punctuation, and MEDIAN_SHARE of such blocks' median length or PROSE characters long), since one long
+block outweighs many short ones.
 
 The parser is lenient: unclosed and crossing tags, raw-text elements, comments and a cut end.
 Null or empty html, or no content: empty text. Pages stand alone: no shuffle, repeated rows and
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from statistics import median_high
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +54,8 @@ HEAD_WORDS = frozenset("header masthead topbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 #: The share of the weight that the text's section holds; a block's threshold as a share of the mean; the gain of article and main.
 SHARE, THRESHOLD, GAIN = 0.6, 0.3, 4.0
+#: A block with punctuation is prose from this share of such blocks' median length, and from so many characters whatever the median.
+MEDIAN_SHARE, PROSE = 0.3, 60
 
 
 class _Element:
@@ -114,6 +120,21 @@ def blocks_of(page: str) -> list[tuple[_Element, str, list[tuple[str, int, int]]
     return out
 
 
+def _around_prose(section: _Element, blocks: list) -> _Element:
+    """The lowest element at or over the section that holds every block of prose."""
+    marked = [(e, len(text)) for e, text, nodes in blocks if not e.bad and any(marks for _, _, marks in nodes)]
+    least = min(PROSE, MEDIAN_SHARE * median_high(n for _, n in marked)) if marked else 0
+    prose = [e for e, n in marked if n >= least]
+    held: dict[_Element, int] = defaultdict(int)
+    for e in prose:
+        while e:
+            held[e] += 1
+            e = e.above
+    while section.above and held[section] < len(prose):
+        section = section.above
+    return section
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -140,6 +161,8 @@ def main_text(page: str | None) -> str:
     if not fit:  # text without any section
         return "\n".join(text for e, text, _ in blocks if not e.bad)
     section = max(fit, key=lambda e: e.path.count("/"))
+    if not section.good:
+        section = _around_prose(section, blocks)
     up = section
     while up.above:
         if up.tag in ("article", "main"):

@@ -48,3 +48,20 @@ def test_query_gives_the_article_of_every_page(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p)>", article)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b), r.page_id
+
+
+@pytest.mark.parametrize("many", [63, 2000])
+@pytest.mark.parametrize("tag", ["div", "section", "blockquote"])
+def test_one_long_block_does_not_drop_its_siblings(tag, many):
+    short = [f"{P} {P} Number {i}." for i in range(10)]
+    long = " ".join([P] * many)
+    shorts = [f"<div>{s}</div>" for s in short]
+    page = f"<body><nav><a>Home</a></nav><div><h2>Title</h2>{''.join(shorts[:5])}<{tag}>{long}</{tag}>{''.join(shorts[5:])}</div><div><a>Next</a></div></body>"
+    assert op.main_text(page) == "\n".join(["Title", *short[:5], long, *short[5:]])
+
+
+def test_long_cell_and_lead_of_a_long_section():
+    long = " ".join([P] * 63)
+    assert op.main_text(f"<body><table><tr><td>{P}</td><td>{long}</td></tr></table></body>") == f"{P}\n{long}"
+    assert op.main_text(f"<body><div>{P} {P}</div><section><p>{long}</p><p>{long}</p><p>{long}</p></section></body>") == "\n".join([f"{P} {P}", long, long, long])
+    assert op.main_text(f"<body><div>Daily, fresh.</div><div><p>{P}</p><p>{P}</p></div><div>(c) X, all rights.</div></body>") == f"{P}\n{P}"
