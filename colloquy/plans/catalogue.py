@@ -319,13 +319,21 @@ def cluster_regroup(spark, sf):
 
 @_query("WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <= 11) SELECT conv_id, turn, '0' AS labels FROM conversations JOIN c USING (conv_id)")
 def cluster_small_groups(spark, sf):
-    """Conversations of up to 11 turns share label 0."""
+    """Conversations of up to 11 turns share label 0, as its SQL has it; cluster_conversations takes all."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.length("text").cast("double"), F.col("turn").cast("double")).alias("v"))
     few = turns.groupBy("conv_id").count().where("count <= 11").select("conv_id")
     got = cluster.cluster(turns.join(few, "conv_id", "left_semi"), "conv_id", "turn", "v")
     return got.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
+@_query()
+def cluster_conversations(spark, sf):
+    """Every conversation, on both sides of the guard; no SQL, as larger ones get a mixture. A null text has length 0."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.coalesce(F.length("text"), F.lit(0)).cast("double"), F.col("turn").cast("double")).alias("v"))
+    got = cluster.cluster(turns, "conv_id", "turn", "v")
+    return got.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
 @_query()
 def cluster_mixtures(spark, sf):
     """The mixture itself, a group a label; no SQL (tests hold its invariants)."""

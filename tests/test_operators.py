@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colloquy import providers
 from colloquy.functions.fixed import PATIENT_FORMS, SPOKEN_FORMS
 from colloquy.operators import chunks, clean, cluster, parse, punctuation, roles, sections, sentences, tree, vectors
+from colloquy.plans import catalogue
 from colloquy.plans.preprocess import preprocess
 from colloquy.sources import csv, ontology
 from colloquy.sources.tables import require_columns
@@ -254,6 +255,25 @@ def test_cluster_guard_and_regroup(spark):
     assert cluster.unassigned(flat, "k").first().unassigned == 1
 
 
+def test_conversations_on_both_sides_of_the_guard(spark, tmp_path):
+    """Against a restatement: the least BIC of all sizes, memberships over 0.4, equal points alike."""
+    sizes = {1: 1, 2: 11, 3: 12, 4: 40}
+    rows = [(c, t, "user", None if (c, t) == (4, 3) else "x" * (t * 7 % 5 + (200 if t % 2 else 0))) for c, n in sizes.items() for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = []
+    for c, n in sizes.items():
+        if n <= 11:
+            want += [(c, t, "0") for t in range(n)]
+            continue
+        x = np.array([[len(text or ""), t] for k, t, _, text in rows if k == c], float)
+        fits = [cluster.Mixture(x, k) for k in range(1, min(50, n))]
+        best = min(fits, key=lambda m: m.bic)
+        want += [(c, t, ",".join(str(k) for k, p in enumerate(best.posterior[t]) if p > 0.4)) for t in range(n)]
+    got = catalogue.queries()["cluster_conversations"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len({r[2] for r in want if r[0] == 4}) > 1
+
+
 def test_sections_and_summaries(spark, apply):
     nodes = spark.createDataFrame([(7, [1.0, 1.0, 0.6])], "n int, v array<double>")
     axes = spark.createDataFrame([(0, [1.0, -1.0, 0.2]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "section_pos int, section_vector array<double>")
