@@ -97,14 +97,21 @@ class PhraseIndex:
         return proven.select("phrase", "doc", "start", "n").union(starts.where("n <= 2").select("phrase", "doc", "start", "n"))
 
     def within(self, phrases: DataFrame, span: int) -> DataFrame:
-        """phrase, doc, low and high: the places where all terms of a phrase lie within `span` words
-        of an occurrence of its rarest term, in any order; low and high bound the nearest of each."""
-        flat = phrases.select("phrase", F.size(F.array_distinct(F.transform("parts", lambda p: p.term))).alias("kinds"), F.col("parts")[0].term.alias("key"), F.explode(F.array_distinct(F.transform("parts", lambda p: p.term))).alias("term"))
-        posted = self.postings.select("doc", "pos", "term")
+        """phrase, doc, low and high: for each occurrence of a phrase's rarest term, the narrowest place of
+        `span` words at most that holds it and all terms, each as often as the phrase does, in any
+        order; the first of equals."""
+        flat = phrases.select("phrase", F.col("parts")[0].term.alias("key"), F.explode("parts.term").alias("term")).groupBy("phrase", "key", "term").agg(F.count("*").cast("int").alias("need"))
+        flat = flat.withColumn("kinds", F.count("*").over(Window.partitionBy("phrase")))
+        posted = self.postings.select("doc", "pos", "term").distinct()
         centres = posted.withColumnsRenamed({"term": "key", "pos": "centre"}).join(flat, "key")
-        near = centres.select("phrase", "kinds", "doc", "centre", "term", F.explode(F.sequence(F.col("centre") - span, F.col("centre") + span)).alias("pos")).join(posted, ["doc", "term", "pos"])
-        best = near.groupBy("phrase", "kinds", "doc", "centre", "term").agg(F.min_by("pos", F.abs(F.col("pos") - F.col("centre"))).alias("pos"))
-        return best.groupBy("phrase", "kinds", "doc", "centre").agg(F.count("*").alias("k"), F.min("pos").alias("low"), F.max("pos").alias("high")).where("k = kinds AND high - low < " + str(int(span))).select("phrase", "doc", "low", "high")
+        near = centres.select("phrase", "kinds", "doc", "centre", "term", "need", F.explode(F.sequence(F.col("centre") - span + 1, F.col("centre") + span - 1)).alias("pos")).join(posted, ["doc", "term", "pos"])
+        places = near.groupBy("phrase", "kinds", "doc", "centre", "term", "need").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+        held = places.groupBy("phrase", "kinds", "doc", "centre").agg(F.collect_list(F.struct("need", "at")).alias("terms")).where("size(terms) = kinds")
+        far = F.col("centre") + span  # where a term isn't there often enough
+        last = lambda low: F.array_max(F.transform("terms", lambda t: F.coalesce(F.get(F.filter(t["at"], lambda x: x >= low), t["need"] - 1), far)))
+        lows = F.filter(F.flatten("terms.at"), lambda x: x <= F.col("centre"))
+        best = F.array_min(F.transform(lows, lambda low: F.struct((F.greatest(last(low), "centre") - low).alias("wide"), low.alias("low"))))
+        return held.select("phrase", "doc", best.alias("best")).where(F.col("best.wide") < span).select("phrase", "doc", F.col("best.low").alias("low"), (F.col("best.low") + F.col("best.wide")).alias("high"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, staging: Staging, window: int = WINDOW) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -88,6 +90,29 @@ def test_proximity(spark):
     assert [tuple(r) for r in got] == [(1, 0, 4)]
 
 
+def test_proximity_equals_brute_force(spark):
+    rng, items, span = random.Random(9), ["r a b", "r a a b", "r"], 5
+    texts = ["z z z z z z z a z z r z z b a c", "r a b", "r a b a", *(" ".join(rng.choices("rabcz", [1, 2, 2, 2, 6], k=40)) for _ in range(30))]
+    staging = Staging(spark, "test-phrases")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = op.PhraseIndex(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), staging)
+    phrases, owners = index.phrases()
+    found = index.within(phrases, span).join(index.documents(), "doc").join(owners, "phrase")
+    got = sorted((r.item_id, r.doc_id, r.low, r.high) for r in found.collect())
+    keys = {r.item_id: r.word for r in phrases.join(owners, "phrase").selectExpr("item_id", "parts[0].term as term").join(index.terms, "term").collect()}
+    staging.drop()
+    want = []
+    for i, item in enumerate(items):
+        need = Counter(item.split())
+        for d, text in enumerate(texts):
+            w = text.split()
+            for c in (k for k, x in enumerate(w) if x == keys[i]):
+                fits = [(high - low, low, high) for low in range(max(0, c - span + 1), c + 1) for high in range(c, min(len(w), low + span)) if not need - Counter(w[low : high + 1])]
+                want += [(i, d, *min(fits)[1:])] if fits else []
+    assert (0, 0, 10, 14) in want and got == sorted(want)
+    assert any(r[:2] == (1, 2) for r in want) and not any(r[:2] == (1, 1) for r in want)
+
+
 def test_native_plan(spark):
     plan = op.op9_phrase_decontamination(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
