@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colloquy.llm import op5_units, op7_jaccard, op8_quality, op9_phrases, op10_bpe
 from colloquy.llm.common import Staging, read_table, tune
 
+#: Where the numbers of documents without an id begin, over the usual ids.
+NAMELESS = 1 << 62
 _left: list[Staging] = []
 
 
@@ -31,11 +33,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each class of documents whose sets of five-word shingles
-    link at a Jaccard similarity of 0.8 or more. Documents without an id stay."""
-    found = op7_jaccard.classes(docs, _staging(spark, "stage-jaccard"), 5, 4, 5)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    link at a Jaccard similarity of 0.8 or more. Documents without an id go by a hash of the text, from
+    NAMELESS on, in place of one; those of them without words stay, as nothing links them."""
+    given = F.lit(NAMELESS) + F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1))
+    named = docs.withColumn("id__", F.coalesce("doc_id", given))
+    found = op7_jaccard.classes(named.select(F.col("id__").alias("doc_id"), "text"), _staging(spark, "stage-jaccard"), 5, 4, 5)
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id__")).agg(F.max("n_shingles").alias("n__"))
+    kept = named.join(first, "id__")
+    alone = F.col("doc_id").isNull() & (F.col("n__") == 0)
+    return kept.where(~alone).dropDuplicates(["id__", "text"]).unionByName(kept.where(alone)).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

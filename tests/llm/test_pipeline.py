@@ -56,3 +56,13 @@ def test_edges_pass_every_stage(spark):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert pipeline.byte_bpe(spark, docs, SF).count() == docs.count()
         assert docs.count() >= (len(rows) > 0)
+
+
+def test_copies_without_an_id_leave_one_of_each_class(spark):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(7, text[0]), (None, text[0]), (None, text[0] + " more"), (None, text[1]), (None, text[1]), (None, text[1] + " more"), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in pipeline.jaccard_join(spark, docs, SF).collect()]
+    assert [r for r in got if r[1] and r[1][0] == "a"] == [(7, text[0])]
+    assert len([r for r in got if r[1] and r[1][0] == "b"]) == 1
+    assert sorted(str(r[1]) for r in got if not r[1]) == ["", "", "None"]
