@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from colloquy.llm.common import RollingHash, cache, ragged
@@ -233,13 +234,16 @@ class PieceCache:
 class ChunkCache:
     """Encodes texts by chunks. `encode(chunks, lead)` is as PieceCache's call.
 
-    Chunks are told apart by a 64-bit rolling hash and their length; the first `most` distinct ones
-    of a worker are kept, without their strings.
+    Chunks are found by a 64-bit rolling hash, and their bytes are compared on every hit; a text with a
+    chunk that only shares another's hash is encoded whole. The first `most` distinct chunks of a worker
+    are kept. Texts that hold one of `special` go to `encode_whole`.
     """
 
-    def __init__(self, encode, most: int = CACHE):
+    def __init__(self, encode, most: int = CACHE, special: tuple[str, ...] = (), encode_whole=None):
         self.encode, self.most, self.table = encode, most, HashTable(most)
+        self.special, self.encode_whole = special, encode_whole
         self.flat, self.counts, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.names, self.at, self.sizes = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.encode_array(pa.array(texts, pa.string()))
@@ -250,47 +254,24 @@ class ChunkCache:
         body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
         edges = edges - edges[0]
         lengths = np.diff(edges)
-        whole = self._uneven(body, edges, texts)
+        special = np.zeros(len(texts), bool)
+        for said in self.special:
+            special |= pc.fill_null(pc.match_substring(texts, said), False).to_numpy(zero_copy_only=False)
+        whole = self._uneven(body, edges, texts) | special
         counts, made = np.zeros(len(texts), np.int64), []
-        plain = np.flatnonzero(~whole & (lengths > 0))
-        if len(plain):
-            space = np.flatnonzero(body == 32)
-            owner = np.searchsorted(edges, space, "right") - 1
-            space = space[~whole[owner]]
-            at, end = np.sort(np.concatenate((edges[plain], space + 1))), np.sort(np.concatenate((space, edges[plain + 1])))
-            lead = np.ones(len(at), bool)
-            lead[np.searchsorted(at, edges[plain])] = False
-            keys = np.minimum(RollingHash(body).spans(at, end - at) ^ np.where(lead, np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5)), np.uint64(2**64 - 2))
-            number = self.table.get(keys).astype(np.int64)
-            fixed = len(self.counts)
-            new = np.flatnonzero(number == _NONE)
-            if len(new):
-                fresh, first, place = np.unique(keys[new], return_index=True, return_inverse=True)
-                first = new[first]
-                order = np.argsort(~lead[first], kind="stable")  # those with a space come first
-                raw = body.tobytes()
-                names = [raw[a:z].decode() for a, z in zip(at[first[order]].tolist(), end[first[order]].tolist())]
-                n = int(lead[first].sum())
-                parts = [self.encode(names[:n], True), self.encode(names[n:], False)]
-                self._extend(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                number[new] = fixed + rank[place]
-                if fixed + len(fresh) <= self.most:
-                    self.table.insert(fresh, (fixed + rank).astype(np.int32))
-                    fixed += len(fresh)
-            own = self.counts[number]
-            ids = self.flat[ragged(self.starts[number], own)]
-            of = np.searchsorted(edges, at, "right") - 1
-            counts += np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)
-            if fixed < len(self.counts):
-                self.flat, self.counts, self.starts = self.flat[: self.starts[fixed]], self.counts[:fixed], self.starts[:fixed]
-            made.append((plain, ids))
-        rest = np.flatnonzero(whole)
-        if len(rest):
-            ids, own = self.encode(texts.take(pa.array(rest)).to_pylist(), False)
-            counts[rest] = own
-            made.append((rest, ids))
+        while len(plain := np.flatnonzero(~whole & (lengths > 0))):
+            ids, own, strange = self._by_chunks(body, edges, whole, plain)
+            if not len(strange):
+                counts += own
+                made.append((plain, ids))
+                break
+            whole[strange] = True
+        for which, encode in ((whole & ~special, lambda t: self.encode(t, False)), (special, self.encode_whole)):
+            rest = np.flatnonzero(which)
+            if len(rest):
+                ids, own = encode(texts.take(pa.array(rest)).to_pylist())
+                counts[rest] = own
+                made.append((rest, ids))
         if len(made) == 1:
             return made[0][1], counts
         starts, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int32)
@@ -298,6 +279,56 @@ class ChunkCache:
             out[ragged(starts[who], counts[who])] = ids
         return out, counts
 
+    def _by_chunks(self, body: np.ndarray, edges: np.ndarray, whole: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the plain texts, each text's number of them, and the texts with a chunk of another's hash."""
+        space = np.flatnonzero(body == 32)
+        owner = np.searchsorted(edges, space, "right") - 1
+        space = space[~whole[owner]]
+        at, end = np.sort(np.concatenate((edges[plain], space + 1))), np.sort(np.concatenate((space, edges[plain + 1])))
+        of = np.searchsorted(edges, at, "right") - 1
+        lead = np.ones(len(at), bool)
+        lead[np.searchsorted(at, edges[plain])] = False
+        keys = np.minimum(RollingHash(body).spans(at, end - at) ^ np.where(lead, np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5)), np.uint64(2**64 - 2))
+        number = self.table.get(keys).astype(np.int64)
+        fixed = len(self.counts)
+        new = np.flatnonzero(number == _NONE)
+        fresh, first, place = np.unique(keys[new], return_index=True, return_inverse=True)
+        first = new[first]
+        order = np.argsort(~lead[first], kind="stable")  # those with a space come first
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number[new] = fixed + rank[place]
+        # a chunk's name: its bytes, and one byte for the space before it
+        here = first[order]
+        sizes, starts = np.concatenate((self.sizes, end[here] - at[here] + 1)), np.concatenate((self.at, len(self.names) + np.cumsum(end[here] - at[here] + 1) - (end[here] - at[here] + 1)))
+        names = np.empty(len(self.names) + int((end[here] - at[here] + 1).sum()), np.uint8)
+        names[: len(self.names)] = self.names
+        names[starts[fixed:]] = lead[here]
+        names[ragged(starts[fixed:] + 1, end[here] - at[here])] = body[ragged(at[here], end[here] - at[here])]
+        differs = (sizes[number] != end - at + 1) | (names[starts[number]] != lead)
+        same = np.flatnonzero(~differs)
+        span = end[same] - at[same]
+        unequal = np.concatenate(([0], np.cumsum(names[ragged(starts[number[same]] + 1, span)] != body[ragged(at[same], span)])))
+        differs[same] = unequal[np.cumsum(span)] != unequal[np.cumsum(span) - span]
+        if differs.any():
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.unique(of[differs])
+        if len(here):
+            raw = body.tobytes()
+            chunks = [raw[a:z].decode() for a, z in zip(at[here].tolist(), end[here].tolist())]
+            n = int(lead[here].sum())
+            parts = [self.encode(chunks[:n], True), self.encode(chunks[n:], False)]
+            self._extend(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            if fixed + len(fresh) <= self.most:
+                self.table.insert(fresh, (fixed + rank).astype(np.int32))
+                self.names, self.at, self.sizes = names, starts, sizes
+                fixed += len(fresh)
+        own = self.counts[number]
+        ids = self.flat[ragged(self.starts[number], own)]
+        counts = np.bincount(of, weights=own, minlength=len(edges) - 1).astype(np.int64)
+        if fixed < len(self.counts):
+            self.flat, self.counts, self.starts = self.flat[: self.starts[fixed]], self.counts[:fixed], self.starts[:fixed]
+        return ids, counts, np.empty(0, np.int64)
+
     def _extend(self, ids: np.ndarray, own: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(own) - own))
         self.flat, self.counts = np.concatenate((self.flat, ids)), np.concatenate((self.counts, own))

@@ -2,6 +2,7 @@
 
 Format. A folder of Parquet containers; each row is one shard:
     part, seq       place in the global order (range partition, then number within it)
+    first, last     least and greatest key: what leads from a key to its shard, by the files' statistics
     before          ids of the partition before this shard
     n_docs, n_ids
     width           bytes of an id: 2 if the vocabulary allows it, else 4
@@ -17,10 +18,11 @@ driver sees one number a partition. `lookup` opens a shard's index and cuts the
 
 Encoding calls the tokenizers library for the distinct pieces of the chunks between spaces (see bpe.py),
 which gives the ids of whole texts; texts with uneven white space go to the library whole.
-Strings of special tokens in a text are ordinary text.
+So do texts that hold the string of a special token.
 
 Null text: only the end id. Null keys: first, stored and returned, not indexed. Repeated keys: a
-row each, in text order; the index holds the first. Empty table: no shards, empty result. Other
+row each, in the order of their texts' hashes, dealt out by it over shards; each shard's index holds its
+first, and `find` gives the first of all. Empty table: no shards, empty result. Other
 columns are not read.
 """
 
@@ -43,7 +45,7 @@ from colloquy.llm.mph import Index
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Text bytes of a range partition; ids of a shard.
 PARTITION_BYTES, SHARD_IDS = 24 << 20, 1 << 20
-SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_ids long, width int, payload binary, keys array<long>, others array<long>, index binary"
+SHARD_SCHEMA = "part int, seq int, first long, last long, before long, n_docs long, n_ids long, width int, payload binary, keys array<long>, others array<long>, index binary"
 
 
 class LibraryEncoder:
@@ -51,11 +53,17 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         size = self.library.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
+        #: Strings that the library takes for one token wherever they stand.
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of whole texts, by the library alone."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers. Pieces that begin with a space are encoded in one string: each
         is split off again as it is, and its first token is the only one with a space."""
@@ -84,7 +92,7 @@ class LibraryEncoder:
 @lru_cache(maxsize=2)
 def _cache(path: str) -> tuple[ChunkCache, int]:
     encoder = LibraryEncoder(path)
-    return ChunkCache(PieceCache(regex.compile(public_tokenizers.PATTERN), encoder.encode)), encoder.width
+    return ChunkCache(PieceCache(regex.compile(public_tokenizers.PATTERN), encoder.encode), special=encoder.special, encode_whole=encoder.whole), encoder.width
 
 
 cache("shards", _cache.cache_clear)
@@ -94,20 +102,22 @@ def _shard(part: int, seq: int, before: int, keys: list, ids: np.ndarray, counts
     starts = np.cumsum(counts) - counts
     known = [i for i, k in enumerate(keys) if k is not None and (i == 0 or keys[i - 1] != k)]
     index = Index.build(np.array([keys[i] for i in known], np.int64).astype(np.uint64), np.array(known, np.int64), starts[known], counts[known])
-    return {"part": part, "seq": seq, "before": before, "n_docs": len(keys), "n_ids": len(ids), "width": width, "payload": ids.astype(f"<u{width}").tobytes(), "keys": keys, "others": np.delete(counts, known).tolist(), "index": index.dumps()}
+    return {"part": part, "seq": seq, "first": keys[known[0]] if known else None, "last": keys[-1], "before": before, "n_docs": len(keys), "n_ids": len(ids), "width": width, "payload": ids.astype(f"<u{width}").tobytes(), "keys": keys, "others": np.delete(counts, known).tolist(), "index": index.dumps()}
 
 
 def write_shards(df: DataFrame, staging: Staging, name: str, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the shards of a table below the staging folder and returns them as read back."""
     path = path or public_tokenizers.path(VOCABULARY)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # the last deals out even repeated rows of one key
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "deal": F.pmod(F.monotonically_increasing_id(), F.lit(64))})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches):
         claim("shards")
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         keys, held, counts, width = [], [], [], _cache(path)[1]
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.list_(pa.int64())), ("others", pa.list_(pa.int64())), ("index", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.list_(pa.int64())), ("others", pa.list_(pa.int64())), ("index", pa.binary())])
 
         def close():
             nonlocal seq, before, keys, held, counts
@@ -131,7 +141,7 @@ def write_shards(df: DataFrame, staging: Staging, name: str, key: str = "doc_id"
         if keys:
             yield close()
 
-    ordered = rows.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "key").sortWithinPartitions("key", "text")
+    ordered = rows.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "key", "hash", "deal").sortWithinPartitions("key", "hash", "deal").select("key", "text")
     return staging.write(ordered.mapInArrow(run, SHARD_SCHEMA), name, compression="zstd")
 
 
@@ -142,6 +152,23 @@ def lookup(shard: dict, keys: np.ndarray) -> list[np.ndarray | None]:
     return [payload[o : o + n] if k else None for k, o, n in zip(known, offset, length)]
 
 
+def find(shards: DataFrame, keys: list[int]) -> DataFrame:
+    """key and ids of each of a few given keys that a table of shards holds: only shards that span one are read."""
+    wanted = sorted(set(keys))
+    spanned = F.lit(False)
+    for k in wanted:
+        spanned = spanned | ((F.col("first") <= k) & (F.col("last") >= k))
+
+    def run(batches):
+        for batch in batches:
+            for shard in batch.to_pylist():
+                found = [(k, shard["part"], shard["seq"], ids.tolist()) for k, ids in zip(wanted, lookup(shard, wanted)) if ids is not None and k in set(shard["keys"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], ["key", "part", "seq", "ids"])
+
+    found = shards.where(spanned).select("part", "seq", "width", "payload", "keys", "index").mapInArrow(run, "key long, part int, seq int, ids array<int>")
+    return found.groupBy("key").agg(F.min_by("ids", F.struct("part", "seq")).alias("ids"))
+
+
 def read_digests(shards: DataFrame) -> DataFrame:
     """Per document, from the files: its place among all ids, its number of ids and their crc32."""
     totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
@@ -154,7 +181,6 @@ def read_digests(shards: DataFrame) -> DataFrame:
             for shard in batch.to_pylist():
                 index, payload = Index.loads(shard["index"]), np.frombuffer(shard["payload"], f"<u{shard['width']}").astype("<u4")
                 keys = shard["keys"]
-                known = np.array([k is not None for k in keys], bool)
                 known = np.array([k is not None and (i == 0 or keys[i - 1] != k) for i, k in enumerate(keys)], bool)
                 found, ordinal, offset, length = index.get(np.array([k or 0 for k in keys], np.int64))
                 if not (found & (ordinal == np.arange(len(keys))))[known].all():

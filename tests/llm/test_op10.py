@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -12,6 +13,16 @@ PATH = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", " ", "  two  spaces ", "a\nb", "a \nb", "tab\tx ", "it's 'tis we'll", "x" * 3000, "ab" * 900 + " end", "éèê ß ñ 日本語 🙂🙂", "12 345,6", " nb  x", "a b\n", "\n\n\nq", "\x1c x", "naïve" * 300]
 
 
+
+def _twins(n):
+    """Two strings whose polynomial hashes modulo 2^64 agree for every odd base, from 1,024 characters on."""
+    signs = [bin(i).count("1") % 2 for i in range(n)]
+    return tuple("".join("ab"[b ^ flip] for b in signs) for flip in (0, 1))
+
+
+TWINS = tuple(" ".join(["x", first, "y", second]) for first, second in zip(_twins(1024), _twins(2048)))
+
+
 @pytest.fixture(scope="module")
 def library():
     with open(PATH, "rb") as f:
@@ -32,6 +43,25 @@ def test_same_ids_as_the_library(library):
     assert encoded(ODD) == [library.encode_ordinary(t) for t in ODD]
 
 
+def test_chunks_of_one_hash_are_told_apart(library, monkeypatch):
+    coder = bpe.load_ranks(PATH, P.PATTERN)
+    made = lambda: bpe.ChunkCache(bpe.PieceCache(coder.pattern, lambda new: coder.encode_pieces([p.encode() for p in new])))
+
+    def ids(cache, texts):
+        flat, counts = cache.encode_texts(texts)
+        return [a.tolist() for a in np.split(flat, counts.cumsum()[:-1])]
+
+    for texts in (TWINS, TWINS[::-1], ("x " + _twins(1024)[0], "x " + _twins(1024)[1])):
+        cache = made()
+        assert ids(cache, list(texts)) == [library.encode_ordinary(t) for t in texts]
+        assert [ids(cache, [t])[0] for t in texts] == [library.encode_ordinary(t) for t in texts]
+    # every hash the same
+    monkeypatch.setattr(bpe.RollingHash, "spans", lambda self, at, length: np.zeros(len(at), "uint64"))
+    cache = made()
+    for _ in range(2):
+        assert ids(cache, [t for t in ODD if t]) == [library.encode_ordinary(t) for t in ODD if t]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab thé\n '.1９ \t　ñ🙂"), max_size=40), max_size=5))
 def test_random_texts(texts):
