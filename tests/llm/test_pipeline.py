@@ -1,29 +1,16 @@
 import hashlib
 
 import corpus_pipeline as pipeline
-from tests.llm import test_op7, test_op9
+from tests.llm import test_op5, test_op7, test_op9
 from tests.llm.test_op10 import _LIB
 
 SF = "/root/testdata/sf0.001"
 
 
-def lines_kept(rows):
-    """Brute-force line dedup of (doc_id, text) with distinct ids."""
-    import re
-
-    seen, out = set(), []
-    for d, text in sorted(rows):
-        kept = []
-        for line in text.split("\n"):
-            unit = re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
-            if unit.count(" ") >= 4 and unit in seen:
-                continue
-            seen.add(unit)
-            kept.append(line)
-        new = "\n".join(kept)
-        if new == text or new.strip(" "):
-            out.append((d, new))
-    return out
+def units_kept(rows):
+    """Brute-force removal of repeated passages of (doc_id, text) with distinct ids."""
+    new = [(d, kept) for (d, _), (kept, _) in zip(rows, test_op5.brute(rows))]
+    return [(d, kept) for (d, text), (_, kept) in zip(rows, new) if kept == text or kept.strip(" ")]
 
 
 def test_run_equals_brute_force(spark):
@@ -33,7 +20,7 @@ def test_run_equals_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in good.collect())
     assert 150 < len(rows) < 200
     rows = [(d, t) for (d, t), (_, _, c) in zip(rows, sorted(test_op7.brute(rows, 5, 4, 5))) if d == c]
-    rows = lines_kept(rows)
+    rows = units_kept(rows)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hit = {r[0] for r in test_op9.brute(rows, items) if r[5] or r[2] >= 13}
     want = []
