@@ -39,12 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colloquy.llm.common import Staging, cache, claim, mix64, read_table, slices, tune
 from colloquy.llm.graph import components
+from colloquy.llm.packed import cut
 
 #: Shingles of a verification task; keys of a bucket; nodes up to which the labels are broadcast.
 CAP, BUCKET_KEYS, SMALL = 2_000_000, 1_000_000, 500_000
 #: What a weak segment costs in keys.
 WEAK_COST = 2.0
 WORDS_KEPT = 300_000
+#: A set's name is a digest of 64 bits; a second one tells sets of one name apart.
+NODE_SEED, PROOF_SEED, NODE_MASK = 0x51, 0xA7, 2**64 - 1
 
 
 class _Words(dict):
@@ -71,6 +74,20 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(made)
 
 
+def digest_of(s: np.ndarray, seed: int) -> int:
+    """A 64-bit digest of a set of shingles."""
+    return int(mix64(np.array([mix64(s ^ np.uint64(seed)).sum() + np.uint64(len(s) * 2)], np.uint64))[0])
+
+
+def names_of(sets: list[np.ndarray], moved: dict, mask: int) -> list[int]:
+    """The node of each set that isn't empty: its digest, or, where another set has the same, what `moved` has for it."""
+    out = []
+    for s in sets:
+        node = digest_of(s, NODE_SEED) & mask
+        out.append(moved.get((node, digest_of(s, PROOF_SEED)), node) if node in moved else node)
+    return out
+
+
 class Scheme:
     """The bands' allocations for a threshold of p/q."""
 
@@ -176,6 +193,25 @@ def links_within(sets: list[np.ndarray], p: int, q: int) -> np.ndarray:
     return out
 
 
+def _apart(sums: DataFrame, nodes: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame, dict]:
+    """The tables with a node for each (digest, proof), and where sets of one digest went: all but one
+    of them get new names. Chance makes about n^2 / 2^65 such among n distinct sets."""
+    twice = nodes.groupBy("node").agg(F.count("*").alias("k"), F.min("proof").alias("keeps")).where("k > 1")
+    others = nodes.join(twice, "node").where("proof <> keeps").select("node", "proof").collect()
+    if not others:
+        return sums, nodes, {}
+    unsigned = lambda x: x & (2**64 - 1)
+    moved = {}
+    for r in sorted((unsigned(r["node"]), unsigned(r["proof"])) for r in others):
+        # names that digests don't take: those of sets are spread over all 64 bits
+        moved[r] = int(mix64(np.array([r[1]], np.uint64) ^ mix64(np.array([r[0]], np.uint64)))[0])
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    rows = [(signed(a), signed(b), signed(c)) for (a, b), c in moved.items()]
+    names = F.broadcast(sums.sparkSession.createDataFrame(rows, "node long, proof long, other long"))
+    renamed = [t.join(names, ["node", "proof"], "left").withColumn("node", F.coalesce("other", "node")).drop("other") for t in (sums, nodes)]
+    return staging.write(renamed[0], "sums-apart"), staging.write(renamed[1], "nodes-apart"), moved | {node: True for node, _ in moved}
+
+
 def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; links are q * intersection >= p * union."""
     texts = df.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -185,15 +221,15 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t, k) for t in part.column("text").to_pylist()]
-                said = [[int(mix64(np.array([mix64(s ^ np.uint64(c)).sum() + np.uint64(len(s) * 2)]))[0]) if len(s) else 0 for s in sets] for c in (0x51, 0xA7)]
+                said = [[digest_of(x, seed) & mask if len(x) else 0 for x in sets] for seed, mask in ((NODE_SEED, NODE_MASK), (PROOF_SEED, 2**64 - 1))]
                 said = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in said]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *said], ["doc_id", "n", "node", "proof"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *said], ["doc_id", "n", "node", "proof"])
 
     sums = staging.write(texts.mapInArrow(summarise, "doc_id long, n long, node long, proof long"), "sums")
-    nodes = staging.write(sums.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high")), "nodes")
-    figures = nodes.agg(F.sum("n"), F.sum((F.col("low") != F.col("high")).cast("long"))).first()
-    if figures[1]:
-        raise ValueError("two sets share a 64-bit digest; choose another seed")
+    own = sums.where("n > 0").groupBy("node", "proof").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    nodes = staging.write(own, "nodes")
+    sums, nodes, moved = _apart(sums, nodes, staging)
+    figures = nodes.agg(F.sum("n"), F.count("*")).first()
     total = figures[0] or 0
     buckets = 1 + int(total * 6 * (q - p) / (q + p) / BUCKET_KEYS)
 
@@ -201,28 +237,20 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
         claim("jaccard")
         for batch in batches:
             for part in slices(batch, "text"):
-                seen, sets = {}, []
-                for t in part.column("text").to_pylist():
-                    s = shingles(t, k)
-                    if len(s):
-                        node = int(mix64(np.array([mix64(s ^ np.uint64(0x51)).sum() + np.uint64(len(s) * 2)]))[0])
-                        if node not in seen:
-                            seen[node] = len(sets)
-                            sets.append(s)
-                if not sets:
+                sets = [x for t in part.column("text").to_pylist() if len(x := shingles(t, k))]
+                seen = dict(zip(names_of(sets, moved, NODE_MASK), sets))  # copies are one
+                if not seen:
                     continue
-                keys, owners, bands, spare = keys_of(sets, p, q)
+                keys, owners, bands, spare = keys_of(list(seen.values()), p, q)
                 names = np.repeat(np.array(list(seen), np.uint64).view(np.int64), 2)
-                bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                rows = []
-                for b in range(buckets):
-                    take = order[edges[b] : edges[b + 1]]
-                    if len(take):
-                        used, local = np.unique(owners[take], return_inverse=True)
-                        # 32 bits of a key suffice beside its bucket: a chance meeting only costs time
-                        rows.append((b, keys[take].astype(np.uint32).tobytes(), local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes(), names[used].tobytes(), bands[used].astype(np.int32).tobytes(), spare[used].astype(np.int32).tobytes()))
+                order, rows = np.argsort(keys, kind="stable"), []
+                for b, first, end in cut(keys[order], buckets):
+                    take = order[first:end]
+                    used, local = np.unique(owners[take], return_inverse=True)
+                    # 32 bits of a key suffice beside its bucket: a chance meeting only costs time
+                    rows.append((b, keys[take].astype(np.uint32).tobytes(), local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes(), names[used].tobytes(), bands[used].astype(np.int32).tobytes(), spare[used].astype(np.int32).tobytes()))
+                if not rows:
+                    continue
                 kinds = (pa.int32(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "owners", "names", "bands", "spare"])
 
@@ -274,8 +302,9 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
         claim("jaccard")
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [shingles(t, k).tobytes() for t in part.column("text").to_pylist()]
-                digest = [int(mix64(np.array([mix64((s := np.frombuffer(f, np.uint64)) ^ np.uint64(0x51)).sum() + np.uint64(len(s) * 2)]).astype(np.uint64))[0]) for f in found]
+                sets = [shingles(t, k) for t in part.column("text").to_pylist()]
+                found = [x.tobytes() for x in sets]
+                digest = names_of(sets, moved, NODE_MASK)
                 # of several rows with the representative's id, those with its set
                 same = np.array(digest, np.uint64).view(np.int64) == part.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column("component"), part.column("node"), part.column("tasks"), pa.array(found, pa.binary())], ["component", "node", "tasks", "shingles"]).filter(pa.array(same))

@@ -122,6 +122,13 @@ def test_large_components_are_split_into_blocks(spark, monkeypatch):
     assert ours(spark, rows, 3, 90, 100) == sorted(brute(rows, 3, 90, 100), key=repr)
 
 
+def test_sets_of_one_digest_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(op, "NODE_MASK", 7)
+    texts = near(np.random.default_rng(11), 120)
+    rows = list(enumerate(texts)) + [(500, texts[3]), (None, texts[4]), (501, "")]
+    assert ours(spark, rows, 3, 90, 100) == sorted(brute(rows, 3, 90, 100), key=repr)
+
+
 def test_empty_table(spark):
     assert ours(spark, [], 3, 90, 100) == []
 
