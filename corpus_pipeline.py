@@ -45,7 +45,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each repeated line of five words or more stays in its earliest place only; a document of which nothing is left goes."""
+    """Each repeated passage stays in its earliest place only (op5_units); a document of which nothing is left goes."""
     out = op5_units.dedup(docs, _staging(spark, "stage-units"))
     out = out.where("n_removed = 0 OR trim(kept) <> ''").withColumn("text", F.col("kept"))
     if "n_chars" in docs.columns:
