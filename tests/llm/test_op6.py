@@ -28,6 +28,29 @@ def test_pages(page, text):
     assert op.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><div class="content has-sidebar"><p>{P}</p><p>{P}</p><p>{P}</p></div></body>', f"{P}\n{P}\n{P}"),
+        (f'<body class="no-sidebar"><nav>x</nav><div><p>{P}</p><p>{P}</p></div></body>', f"{P}\n{P}"),
+        (f'<article><p>{P}</p><p class="social-history">{P}</p><div class="zzbox">Buy our shoes now</div><p>{P}</p></article>', f"{P}\n{P}\n{P}"),
+        (f'<article><h1>Head</h1><p>{P}</p><div class="zzbox"><h3>Sale</h3><p>Buy our shoes now</p></div><p>Yes.</p></article>', f"Head\n{P}\nYes."),
+        (f'<div class="page sidebar"><p>{P}</p><p>{P}</p></div><div class="box">Home</div>', f"{P}\n{P}"),
+        (f'<div class="site-footer"><p>{P}</p></div><div class="story"><h2 class="x1">Title here</h2><p class="t">{P}</p><p class="t">No.</p><p class="t">{P}</p></div><div id="comment-list"><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p></div>', f"Title here\n{P}\nNo.\n{P}"),
+        (f'<div class="cookieNotice"><p>{P}</p></div><main class="has-comments"><p>{P}</p><ul><li>Apples</li><li>Pears</li></ul><ul><li><a>Share</a></li><li><a>Mail</a></li></ul><p>{P}</p></main>', f"{P}\nApples\nPears\n{P}"),
+        (f'<table><tr><td class="menu-left"><a>Home</a> <a>News</a></td><td class="text"><p>{P}</p><p>{P}</p></td></tr></table>', f"{P}\n{P}"),
+        (f'<div role="navigation">Home, news.</div><div id="wrap"><div class="headline">A short headline</div><div class="para">{P}</div><div class="para">Yes.</div><div class="para">{P}</div><div class="ad-box">{P}</div></div>', f"A short headline\n{P}\nYes.\n{P}"),
+    ],
+)
+def test_ratios_decide_and_names_only_scale(page, text):
+    assert op.main_text(page) == text
+
+
+def test_repeated_rows_and_ties(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{P}</p>")] * 3 + [(1, "u", f"<p>{P}</p><p>{P}</p>")], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in op.extract(df).collect()) == [len(P)] * 3 + [2 * len(P) + 1]
+
+
 def test_long_and_deep_pages():
     body = "".join(f"<p>{P} {i}</p>" for i in range(20_000))
     assert op.main_text(f"<nav>x</nav><article>{body}</article>").count("\n") == 19_999
