@@ -5,12 +5,14 @@
 
 Linking is a hash join on (conv_id, call_id) of one row each: where an identifier is repeated, its first
 call meets its first result and all others are `duplicate`. A call's level is the longest chain of linked
-calls that it needs: conversations up to GROUP edges are levelled in packed groups (Kahn), larger ones by
-rounds of joins that raise levels until none rises, so a conversation of any size is never one task's. Calls
-in a cycle have no level. Arguments are checked against the tool's JSON schema. JSON is canonical: sorted
-keys, no spaces, characters as they are.
-
-Null conv_id or call_id: never linked. Null, broken or non-object arguments: invalid, written as null.
+calls that it needs: conversations up to WHOLE edges are levelled in packed groups (Kahn), larger ones by
+joins that contract chains by pointer doubling, so a conversation of any size is never one task's. Calls
+in a cycle, or behind one, have no level. Arguments are checked against the tool's JSON schema. JSON is
+canonical: sorted keys, no spaces, characters as they are.
+
+Null conv_id or call_id: never linked. Null, broken or non-object arguments: invalid, written as null; so are
+those with NaN, infinite numbers or lone surrogates, which JSON in UTF-8 can't hold, and those nested beyond what
+the parser takes (tens of thousands of levels).
 Null text: the empty string. Needs that name no call, or the call itself: not counted. Repeated rows: a row
 each. Empty tables: empty results. Other columns are not read. Texts are whole.
 """
@@ -19,20 +21,27 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict, deque
+from collections import deque
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from colloquy.llm.common import Staging, read_table, slices, tune
 
-GROUP = 50_000
+#: Edges of a task's group; edges from which a conversation is levelled by joins; a need that waits for nothing.
+GROUP, WHOLE, TOP = 50_000, 500_000, "\x00"
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Raises ValueError for what JSON can't hold."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _never(constant: str):
+    raise ValueError(f"{constant} is not JSON")
 
 
 def _is(value, kind: str) -> bool:
@@ -90,21 +99,70 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked(calls, "called", "answered", "open"), marked(results, "answered", "called", "orphan")
 
 
-def _kahn(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
-    after, waits, level = defaultdict(list), dict.fromkeys(nodes, 0), {}
-    for a, b in set(edges):
-        after[a].append(b)
-        waits[b] += 1
-    ready = deque(n for n in nodes if not waits[n])
-    level = dict.fromkeys(ready, 0)
-    while ready:
-        a = ready.popleft()
-        for b in after[a]:
-            waits[b] -= 1
-            level[b] = max(level.get(b, 0), level[a] + 1)
-            if not waits[b]:
-                ready.append(b)
-    return {n: level[n] for n in nodes if not waits[n]}
+def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels of whole conversations: conv_id, need (null: the call stands for itself) and call_id."""
+    out = []
+    for conv, own in pdf.groupby("conv_id", sort=False):
+        codes, names = pd.factorize(np.concatenate((own["call_id"].to_numpy(), own["need"].to_numpy())))
+        call, need = codes[: len(own)], codes[len(own) :]
+        edge = need >= 0
+        pairs = np.unique(np.stack((need[edge], call[edge])), axis=1)
+        ends = np.searchsorted(pairs[0], np.arange(len(names) + 1)).tolist()
+        after, waits = pairs[1].tolist(), np.bincount(pairs[1], minlength=len(names)).tolist()
+        level = [0] * len(names)
+        ready = deque(i for i, n in enumerate(waits) if not n)
+        while ready:
+            a = ready.popleft()
+            for b in after[ends[a] : ends[a + 1]]:
+                waits[b] -= 1
+                level[b] = max(level[b], level[a] + 1)
+                if not waits[b]:
+                    ready.append(b)
+        done = np.flatnonzero(np.array(waits) == 0)
+        out.append(pd.DataFrame({"conv_id": conv, "call_id": names[done], "level": np.array(level, np.int32)[done]}))
+    return pd.concat(out)
+
+
+def _contracted(edges: DataFrame, staging: Staging) -> DataFrame:
+    """Levels of the calls with a need, by contraction: a call that waits for one other only hangs on it, chains
+    of such calls are followed by pointer doubling (rounds: the logarithm of a chain's length), and the calls
+    that wait for several keep the longest way to each of what is left. Rounds of this follow how
+    often chains branch and meet one after another. What stays at the end waits for a cycle."""
+    key, top = ["conv_id", "call_id"], F.lit(TOP)
+    waiting = edges.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("waits")).distinct()
+    start = edges.join(waiting, ["conv_id", "need"], "left")
+    state = staging.write(start.select("conv_id", F.when(F.col("waits"), F.col("need")).otherwise(top).alias("need"), "call_id", F.lit(1).cast("long").alias("w")).groupBy("conv_id", "need", "call_id").agg(F.max("w").alias("w")), "ways-0")
+    turn, hung = 0, []
+    while True:
+        many = state.groupBy(*key).agg(F.count("*").alias("k"))
+        single = state.join(many.where("k = 1").select(*key), key, "left_semi")
+        at = staging.write(single.select("conv_id", "call_id", F.col("need").alias("to"), F.col("w").alias("d")), f"hang-{turn}-0")
+        if at.isEmpty():
+            break
+        # after that many doublings a pointer that still moves goes round a cycle
+        for double in range(1, at.count().bit_length() + 2):
+            on = at.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
+            moved = at.select("conv_id", "call_id", "to", "d").join(on, ["conv_id", "to"], "left")
+            at = staging.write(moved.select("conv_id", "call_id", F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("next").isNotNull().alias("moved")), f"hang-{turn}-{double}")
+            staging.drop(f"hang-{turn}-{double - 1}")
+            if at.where("moved").isEmpty():
+                break
+        at = at.where("NOT moved").drop("moved")
+        hung.append(at)
+        ends = at.select("conv_id", F.col("call_id").alias("need"), "to", "d")
+        rest = state.join(many.where("k > 1").select(*key), key, "left_semi").join(ends, ["conv_id", "need"], "left")
+        ways = rest.select("conv_id", F.coalesce("to", "need").alias("need"), "call_id", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"))
+        turn += 1
+        state = staging.write(ways.groupBy("conv_id", "need", "call_id").agg(F.max("w").alias("w")), f"ways-{turn}")
+        staging.drop(f"ways-{turn - 1}")
+    out = None
+    for i, at in reversed([*enumerate(hung)]):
+        own = at.where(F.col("to") == top).select("conv_id", "call_id", F.col("d").cast("int").alias("level"))
+        if out is not None:
+            above = out.withColumnsRenamed({"call_id": "to", "level": "up"})
+            own = own.unionByName(at.join(above, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("d") + F.col("up")).cast("int").alias("level"))).unionByName(out)
+        out = staging.write(own, f"levels-{i}")
+    return out if out is not None else edges.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0)
 
 
 def levels(calls: DataFrame, staging: Staging) -> DataFrame:
@@ -115,44 +173,14 @@ def levels(calls: DataFrame, staging: Staging) -> DataFrame:
     edges = nodes.select("conv_id", "call_id", F.explode("needs").alias("need")).where("need <> call_id").distinct().join(keys, ["conv_id", "need"])
     edges = staging.write(edges.select("conv_id", "need", "call_id"), "edges")
     size = edges.groupBy("conv_id").agg(F.count("*").alias("n"))
-    big = staging.write(size.where(F.col("n") > GROUP).select("conv_id"), "big")
+    big = staging.write(size.where(F.col("n") > WHOLE).select("conv_id"), "big")
     groups = 1 + edges.count() // max(1, GROUP)
-    flat = edges.unionByName(nodes.select("conv_id", F.lit(None).cast("string").alias("need"), "call_id").join(edges.select("conv_id").distinct(), "conv_id", "left_semi"))
-    small = flat.join(big, "conv_id", "left_anti").withColumn("group", F.pmod(F.xxhash64("conv_id"), F.lit(groups)))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for conv, own in pdf.groupby("conv_id", sort=False):
-            pairs = list(zip(own["need"], own["call_id"]))
-            found = _kahn([b for a, b in pairs if a is None], [p for p in pairs if p[0] is not None])
-            out += [(conv, call, n) for call, n in found.items()]
-        return pd.DataFrame(out, columns=["conv_id", "call_id", "level"])
-
-    done = small.groupBy("group").applyInPandas(order, "conv_id long, call_id string, level int")
-    lone = nodes.join(edges.select("conv_id").distinct(), "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    out = done.unionByName(lone)
-    if big.isEmpty():
-        return out
-    # Kahn by rounds: a round takes the calls all of whose needs are placed
-    left = nodes.join(big, "conv_id", "left_semi").select("conv_id", "call_id")
-    own, turn = edges.join(big, "conv_id", "left_semi"), 0
-    waits = own.groupBy("conv_id", "call_id").agg(F.count("*").alias("k"))
-    state = staging.write(left.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("k", F.lit(0)).alias("k"), F.lit(0).alias("level")), "round-0")
-    placed = []
-    while True:
-        ready = staging.write(state.where("k = 0").select("conv_id", "call_id", "level"), f"ready-{turn}")
-        if ready.isEmpty():
-            break
-        placed.append(ready)
-        gone = own.join(ready.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("m"), (F.max("level") + 1).alias("up"))
-        turn += 1
-        state = staging.write(
-            state.where("k > 0").join(gone, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("k") - F.coalesce("m", F.lit(0))).alias("k"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")), f"round-{turn}"
-        )
-        staging.drop(f"round-{turn - 1}")
-    for ready in placed:
-        out = out.unionByName(ready)
-    return out
+    small = edges.join(big, "conv_id", "left_anti").withColumn("group", F.pmod(F.xxhash64("conv_id"), F.lit(groups)))
+    schema = "conv_id long, call_id string, level int"
+    done = small.groupBy("group").applyInPandas(lambda pdf: _kahn(pdf), schema)
+    free = nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
+    out = done.where("level > 0").unionByName(free)
+    return out if big.isEmpty() else out.unionByName(_contracted(edges.join(big, "conv_id", "left_semi"), staging))
 
 
 def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -162,17 +190,20 @@ def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             for part in slices(batch, "arguments"):
                 valid, faults, text = [], [], []
                 for name, said in zip(part.column("name").to_pylist(), part.column("arguments").to_pylist()):
+                    written = None
                     try:
-                        value = json.loads(said or "")
-                    except ValueError:
-                        value = None
-                    if not isinstance(value, dict):
-                        found, value = [".: not an object"], None
-                    else:
-                        found = problems(value, schemas[name]) if name in schemas else [".: no such tool"]
+                        value = json.loads(said or "", parse_constant=_never)
+                        if isinstance(value, dict):
+                            found = problems(value, schemas[name]) if name in schemas else [".: no such tool"]
+                            written = canonical(value)
+                            written.encode()
+                        else:
+                            found = [".: not an object"]
+                    except (ValueError, RecursionError):
+                        found, written = [".: not an object"], None
                     valid.append(not found)
                     faults.append("; ".join(found))
-                    text.append(None if value is None else canonical(value))
+                    text.append(written)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(valid, pa.bool_()), pa.array(faults, pa.string()), pa.array(text, pa.string())], [*part.schema.names, "valid", "faults", "arguments_json"])
 
     more = [T.StructField("valid", T.BooleanType()), T.StructField("faults", T.StringType()), T.StructField("arguments_json", T.StringType())]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from colloquy.llm import op4_tools as op
@@ -21,9 +23,9 @@ def test_canonical_json():
     assert op.canonical({"b": [1, 2.5, None], "a": {"é": "x\n\""}}) == '{"a":{"é":"x\\n\\""},"b":[1,2.5,null]}'
 
 
-@pytest.mark.parametrize("group", [50_000, 0])
-def test_links_and_levels(spark, monkeypatch, group):
-    monkeypatch.setattr(op, "GROUP", group)
+@pytest.mark.parametrize("whole", [50_000, 0])
+def test_links_and_levels(spark, monkeypatch, whole):
+    monkeypatch.setattr(op, "WHOLE", whole)
     calls = spark.createDataFrame(
         [
             (1, "a", 1, "f", "{}", [], None),
@@ -52,6 +54,50 @@ def test_links_and_levels(spark, monkeypatch, group):
     assert got == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (2, "b"): 0, (3, "e"): 0, (3, "d"): 1}
 
 
+def longest(needs):
+    """Levels by trying until nothing changes; needs: {call: its needs}."""
+    found = {}
+    while new := {c: max((found[n] + 1 for n in own), default=0) for c, own in needs.items() if c not in found and all(n in found for n in own)}:
+        found |= new
+    return found
+
+
+def test_contraction_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op, "WHOLE", 0)
+    rng, needs = random.Random(4), {}
+    for conv in range(25):
+        n = rng.randrange(1, 40)
+        for i in range(n):
+            # chains, branches, and now and then a later call, which may close a cycle
+            own = [i - 1] if rng.random() < 0.7 else [rng.randrange(n) if rng.random() < 0.1 else rng.randrange(i) for _ in range(rng.randrange(4)) if i]
+            needs[conv, i] = sorted({(conv, j) for j in own if 0 <= j != i})
+    calls = spark.createDataFrame([(c, f"c{i}", [f"c{j}" for _, j in own], "open") for (c, i), own in needs.items()], "conv_id long, call_id string, needs array<string>, status string")
+    staging = Staging(spark, "test-tools")
+    got = {(r.conv_id, int(r.call_id[1:])): r.level for r in op.levels(calls, staging).collect()}
+    staging.drop()
+    want = longest(needs)
+    assert got == want and 0 < len(want) < len(needs)
+
+
+@pytest.mark.parametrize("whole", [500_000, 50_000])
+def test_one_conversation_of_120_000_turns(spark, monkeypatch, whole):
+    monkeypatch.setattr(op, "WHOLE", whole)
+    calls = spark.range(120_000).selectExpr("1L AS conv_id", "concat('c', id) AS call_id", "array(concat('c', id - 1)) AS needs", "'open' AS status")
+    staging = Staging(spark, "test-tools")
+    got = op.levels(calls, staging)
+    assert got.where("call_id = concat('c', level)").count() == got.count() == 120_000
+    staging.drop()
+
+
+def test_what_json_cannot_hold(spark):
+    rows = [(1, "f", "[" * 100_000), (2, "f", '{"a":' * 200_000 + "1" + "}" * 200_000), (3, "f", '{"a": NaN}'), (4, "f", '{"a": 1e999}'), (5, "f", '{"a": "\\ud800"}'), (6, "f", '{"\\udc00": 1}'), (7, "f", '{"a": -Infinity}'), (8, "f", "")]
+    got = op.checked(spark.createDataFrame(rows, "id long, name string, arguments string"), {"f": {}}).collect()
+    assert [(r.valid, r.faults, r.arguments_json) for r in got] == [(False, ".: not an object", None)] * 8
+    for value in (float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="JSON"):
+            op.canonical({"a": value})
+
+
 def test_arguments(spark):
     rows = [(1, "f", '{"b": 1, "a": "é"}'), (2, "f", "{"), (3, "f", None), (4, "g", "{}"), (5, "f", "[1]"), (6, "f", '{"a": 5}')]
     got = op.checked(spark.createDataFrame(rows, "id long, name string, arguments string"), {"f": {"properties": {"a": {"type": "string"}}}}).collect()
