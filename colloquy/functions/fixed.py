@@ -1,5 +1,7 @@
 """Results depend on these entries and on their order."""
 
+from colloquy.functions.text import SPACE, WORD
+
 # Spoken forms and what replaces them, applied in this order as plain substrings.
 SPOKEN_FORMS = (
     ("can't", "cannot"),
@@ -86,4 +88,7 @@ MOST_COMPONENTS, SEED, MEMBERSHIP, GUARD_DIMENSION = 50, 224, 0.4, 10
 # The similarity from which an utterance belongs to a section; summary length in words.
 SECTION_THRESHOLD, SUMMARY_MIN, SUMMARY_MAX = 0.5, 30, 130
 
+# The end of a sentence, white space after a dot or question mark, but not after `a.b.` or `Dr.`.
+BOUNDARY = rf"(?<!{WORD}\.{WORD}.)(?<![A-Z][a-z]\.)(?<=[.?]){SPACE}"
+
 DOCTOR, PATIENT = "[doctor]", "[patient]"

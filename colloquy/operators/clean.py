@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,11 +32,15 @@ def collapse_repeats(text: Column, scope: str = "dialogue") -> Column:
     return F.array_join(F.transform(split_literal(text, "\n"), body), "\n")
 
 
-def rewrite_patient(text: Column, patterns: Pairs = PATIENT_FORMS) -> Column:
-    """Lines that begin with the patient's tag, lowered and in the third person."""
+def rewrite_patient(text: Column, patterns: Pairs = PATIENT_FORMS, splitter: Callable[[Column], Column] | None = None) -> Column:
+    """Lines that begin with the patient's tag, lowered and in the third person. With a splitter (text to
+    array) the patterns see one sentence at a time, and a space joins the sentences."""
+    def person(said: Column) -> Column:
+        return functools.reduce(lambda c, kv: F.regexp_replace(c, java(kv[0]), kv[1]), patterns, F.lower(said))
+
     def line(said: Column) -> Column:
-        body = F.lower(strip(F.substring(said, len(PATIENT) + 1, 2**31 - 1)))
-        body = functools.reduce(lambda c, kv: F.regexp_replace(c, java(kv[0]), kv[1]), patterns, body)
+        body = strip(F.substring(said, len(PATIENT) + 1, 2**31 - 1))
+        body = F.array_join(F.transform(splitter(body), person), " ") if splitter else person(body)
         return F.when(said.startswith(PATIENT), F.concat(F.lit(PATIENT + " "), body)).otherwise(said)
 
     return F.array_join(F.transform(split_literal(text, "\n"), line), "\n")
@@ -51,14 +55,14 @@ def spoken_point(text: Column) -> Column:
     return F.when(only_dots(text), F.replace(text, F.lit(" . "), F.lit(" point "))).otherwise(text)
 
 
-def clean_text(text: Column, table: Pairs = SPOKEN_FORMS, patterns: Pairs = PATIENT_FORMS, scope: str = "dialogue") -> Column:
-    return rewrite_patient(collapse_repeats(replace_all(text, table), scope), patterns)
+def clean_text(text: Column, table: Pairs = SPOKEN_FORMS, patterns: Pairs = PATIENT_FORMS, scope: str = "dialogue", splitter: Callable[[Column], Column] | None = None) -> Column:
+    return rewrite_patient(collapse_repeats(replace_all(text, table), scope), patterns, splitter)
 
 
-def clean_spoken(df: DataFrame, dialogue_column: str, table: Pairs = SPOKEN_FORMS, patterns: Pairs = PATIENT_FORMS, scope: str = "dialogue") -> DataFrame:
+def clean_spoken(df: DataFrame, dialogue_column: str, table: Pairs = SPOKEN_FORMS, patterns: Pairs = PATIENT_FORMS, scope: str = "dialogue", splitter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds `clean_dialogue`."""
     require_columns(df, dialogue_column)
-    return df.withColumn("clean_dialogue", clean_text(spoken_point(F.col(dialogue_column)), table, patterns, scope))
+    return df.withColumn("clean_dialogue", clean_text(spoken_point(F.col(dialogue_column)), table, patterns, scope, splitter))
 
 
 def drop_returns(text: Column) -> Column:

@@ -102,9 +102,8 @@ def cluster(df: DataFrame, key: str, node: str, vector: str, dimension: int = GU
 
 
 def regroup(labelled: DataFrame, key: str, node: str) -> DataFrame:
-    """key, label, nodes in order: a node with several labels is in each, one without is in none."""
-    flat = labelled.select(key, node, F.explode("labels").alias("label"))
-    return flat.groupBy(key, "label").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    """(key, label, node) rows: a node with several labels is in each, one without is in none."""
+    return labelled.select(key, F.explode("labels").alias("label"), node)
 
 
 def unassigned(labelled: DataFrame, key: str) -> DataFrame:
@@ -112,6 +111,7 @@ def unassigned(labelled: DataFrame, key: str) -> DataFrame:
 
 
 def duplicates(df: DataFrame, key: str, node: str, vector: str) -> DataFrame:
-    """Every node with `same`, the nodes of its group whose vector is equal, itself included."""
-    groups = df.groupBy(key, vector).agg(F.array_sort(F.collect_list(node)).alias("same"))
-    return groups.select(key, F.explode("same").alias(node), "same")
+    """Every node with its class of equal vectors in the group: `first_same`, the least node of it, and `n_same`, its size."""
+    classes = df.groupBy(F.col(key).alias("k__"), F.col(vector).alias("v__")).agg(F.min(node).alias("first_same"), F.count("*").alias("n_same"))
+    same = F.col(key).eqNullSafe(F.col("k__")) & F.col(vector).eqNullSafe(F.col("v__"))
+    return df.select(key, node, vector).join(classes, same).select(key, node, "first_same", "n_same")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.text import split_literal
@@ -71,6 +73,22 @@ def rows(df: DataFrame, dialogue_column: str, task: str = "C", exceptions=None,
     return df.select(*others, F.explode(utterances(F.col(dialogue_column), task, exceptions, on_invalid)).alias("u")).select(*others, "u.pos", "u.role", "u.text")
 
 
+def token_lists(texts: list[str]) -> list[list[str]]:
+    """The default language provider: words and single marks of each text."""
+    return [re.findall(r"\w+|[^\w\s]", t) for t in texts]
+
+
+def annotated(df: DataFrame, dialogue_column: str, annotate: Callable[[list[str]], list], kind: str = "array<string>", task: str = "C", exceptions=None) -> DataFrame:
+    """Utterance rows with `annotation`, what a language model says of their texts: a batch of texts, over
+    utterances and dialogues, goes to `annotate` at once."""
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(annotate(texts.tolist()), index=texts.index)
+
+    return rows(df, dialogue_column, task, exceptions).withColumn("annotation", run("text"))
+
+
 def join(said: Column, task: str = "C", spaced: bool = False) -> Column:
     """Utterances as a dialogue text; `spaced` puts the task's separator between role and text."""
     between = (" " if task == "C" else ": ") if spaced else ""

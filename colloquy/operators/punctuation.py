@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colloquy.functions.fixed import CHUNK_OVERLAP, CHUNK_WORDS
-from colloquy.functions.text import split_words
+from colloquy.functions.text import let, split_words
 from colloquy.operators import parse
 from colloquy.sources.tables import require_columns
 
@@ -28,15 +28,23 @@ def bare_words(text: Column) -> Column:
 
 def chunks(words: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Overlapping runs of words as a model sees them: one if they fit, and no last one that is all overlap."""
-    step = F.when(F.size(words) > size, size - overlap).otherwise(size)
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, step)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.slice(words, i + 1, size))
-    return F.when((F.size(runs) > 1) & (F.size(F.element_at(runs, -1)) <= overlap), F.slice(runs, 1, F.size(runs) - 1)).otherwise(runs)
+    def cut(own: Column) -> Column:
+        step = F.when(F.size(own) > size, size - overlap).otherwise(size)
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1, step)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(own, i + 1, size))
+
+    def tidy(runs: Column) -> Column:
+        return F.when((F.size(runs) > 1) & (F.size(F.element_at(runs, -1)) <= overlap), F.slice(runs, 1, F.size(runs) - 1)).otherwise(runs)
+
+    return let(let(words, cut), tidy)
 
 
 def contributed(runs: Column, overlap: int = CHUNK_OVERLAP) -> Column:
     """What each run gives to the result: all but its last `overlap` words, the last run all."""
-    return F.transform(runs, lambda run, i: F.when(i < F.size(runs) - 1, F.slice(run, F.lit(1), F.size(run) - overlap)).otherwise(run))
+    def given(own: Column, last: Column) -> Column:
+        return F.transform(own, lambda run, i: F.when(i < last, F.slice(run, F.lit(1), F.size(run) - overlap)).otherwise(run))
+
+    return let(runs, lambda own: let(F.size(own) - 1, lambda last: given(own, last)))
 
 
 def render(words: Column, labels: Column) -> Column:
@@ -76,12 +84,18 @@ def model(labeller_factory: Callable[[], Labeller]) -> Callable[[Column], Column
             out += [w + (m if m in tuple(MARKS) else "") for w, m in zip(words[:n], labels)]
         return " ".join(out)
 
+    def runs_of(words: list[str]) -> list[list[str]]:
+        """As chunks does: Spark takes no nested lambdas in a Python function's arguments."""
+        step = CHUNK_WORDS - CHUNK_OVERLAP if len(words) > CHUNK_WORDS else CHUNK_WORDS
+        runs = [words[i : i + CHUNK_WORDS] for i in range(0, len(words), step)]
+        return runs[:-1] if len(runs) > 1 and len(runs[-1]) <= CHUNK_OVERLAP else runs
+
     @F.pandas_udf("string")
-    def one(runs: pd.Series) -> pd.Series:
-        return runs.map(lambda r: None if r is None else rendered(r))
+    def one(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: None if w is None else rendered(runs_of(list(w))))
 
     def restore(text: Column) -> Column:
-        return F.when(text.isNotNull(), one(chunks(bare_words(text))))
+        return F.when(text.isNotNull(), one(bare_words(text)))
 
     restore.rendered = rendered
     return restore

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.fixed import DOCTOR
+from colloquy.functions.text import let
 from colloquy.operators import parse
 from colloquy.sources.tables import require_columns
 
@@ -25,8 +26,13 @@ def asked(said: Column, doctor: bool, mark: str = "?") -> Column:
 
 def fix_roles(said: Column, mark: str = "?") -> Column:
     """If the others ask more than the doctor, the doctor becomes the other and all others the doctor."""
-    swapped = F.transform(said, lambda u: F.struct(u.pos.alias("pos"), F.when(u.role == DOCTOR, other_role(said)).otherwise(DOCTOR).alias("role"), u.text.alias("text")))
-    return F.when(asked(said, True, mark) < asked(said, False, mark), swapped).otherwise(said)
+    def swapped(own: Column, other: Column) -> Column:
+        return F.transform(own, lambda u: F.struct(u.pos.alias("pos"), F.when(u.role == DOCTOR, other).otherwise(DOCTOR).alias("role"), u.text.alias("text")))
+
+    def fixed(own: Column) -> Column:
+        return F.when(asked(own, True, mark) < asked(own, False, mark), let(other_role(own), lambda other: swapped(own, other))).otherwise(own)
+
+    return let(said, fixed)
 
 
 def fix_role(df: DataFrame, dialogue_column: str, exceptions=None, mark: str = "?") -> DataFrame:

@@ -11,23 +11,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colloquy.functions.fixed import SECTION_THRESHOLD, SUMMARY_MAX, SUMMARY_MIN
 from colloquy.operators.vectors import cosine_similarity
 
+#: Columns of a note form that are broadcast at most.
+MOST_SECTIONS = 10_000
+
 
 def similarities(nodes: DataFrame, sections: DataFrame, node: str, vector: str) -> DataFrame:
     """node, section_pos and similarity. Sections (section_pos, section_vector) are the columns of a note
-    form: a few dozen rows, embedded once and broadcast to the nodes."""
-    pairs = nodes.select(node, F.col(vector).alias("v__")).join(F.broadcast(sections.select("section_pos", "section_vector")))
+    form: a few dozen rows, embedded once and broadcast to the nodes; over MOST_SECTIONS raises."""
+    few = sections.select("section_pos", "section_vector").limit(MOST_SECTIONS + 1)
+    size = F.broadcast(few.agg(F.count("*").alias("n__")))
+    checked = F.when(F.col("n__") <= MOST_SECTIONS, F.col("section_vector")).otherwise(F.raise_error(F.lit("too many sections for a form")))
+    few = few.join(size).select("section_pos", checked.alias("section_vector"))
+    pairs = nodes.select(node, F.col(vector).alias("v__")).join(F.broadcast(few))
     return pairs.select(node, "section_pos", cosine_similarity(F.col("v__"), F.col("section_vector")).alias("similarity"))
 
 
 def assign(nodes: DataFrame, sections: DataFrame, node: str, vector: str, threshold: float = SECTION_THRESHOLD, compat: str | None = None) -> DataFrame:
-    """section_pos and its nodes in order: those at least as similar as the threshold. With compat `ordinal`
-    a node with m matches goes to the first m sections instead."""
+    """(section_pos, node) rows: the nodes at least as similar as the threshold. With compat `ordinal`
+    a node with m matches goes to the first m sections instead. `gathered` makes arrays of them."""
     hits = similarities(nodes, sections, node, vector).where(F.col("similarity") >= threshold)
     if compat == "ordinal":
         hits = hits.groupBy(node).agg(F.count("*").alias("m")).select(node, F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("section_pos"))
     elif compat is not None:
         raise ValueError("compat is ordinal or None")
-    return hits.groupBy("section_pos").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    return hits.select("section_pos", node)
+
+
+def gathered(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """One row a group, with its nodes in order as an array; for groups known to be small."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
 
 
 def extractive(embed_lines: Callable[[list[str]], np.ndarray], least: int, most: int) -> Callable[[str | None], str | None]:

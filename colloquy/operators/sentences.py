@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.functions.text import SPACE, WORD, split_words
+from colloquy.functions.fixed import BOUNDARY
+from colloquy.functions.text import split_words
 from colloquy.operators import parse
 from colloquy.operators.clean import cut_leading_mark
 
-#: White space after a dot or question mark, but not after `a.b.` or `Dr.`.
-BOUNDARY = rf"(?<!{WORD}\.{WORD}.)(?<![A-Z][a-z]\.)(?<=[.?]){SPACE}"
 TOKEN = r"[\p{L}\p{N}_]+|[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}_]"
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.functions.text import let
+
 DIMENSION = 64
 
 
@@ -48,8 +50,7 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
 
 
 def normalise(vector: Column) -> Column:
-    v = doubles(vector)
-    return F.transform(v, lambda x: F.try_divide(x, F.sqrt(dot(v, v))))
+    return let(doubles(vector), lambda v: let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.try_divide(x, norm))))
 
 
 def distances(df: DataFrame, query: DataFrame, vector: str, query_vector: str, metric: str = "cosine") -> DataFrame:
@@ -58,10 +59,22 @@ def distances(df: DataFrame, query: DataFrame, vector: str, query_vector: str, m
 
 
 def nearest(df: DataFrame, key: str, partition: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """Adds `rank` by ascending (or descending) distance, ties by key."""
+    """Adds `rank` by ascending (or descending) distance, ties by key.
+
+    Over all rows the ranks come from a range partitioning and the ranges' sizes, not from one sorted task.
+    """
     by = F.desc("distance") if descending else F.asc("distance")
-    window = Window.partitionBy(*partition) if partition else Window.partitionBy()
-    return df.withColumn("rank", F.row_number().over(window.orderBy(by, key)))
+    if partition:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(by, key)))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, by, key).sortWithinPartitions(by, key).withColumn("id__", F.monotonically_increasing_id())
+    # an id is the number of its range and, in the low 33 bits, the place in it
+    sizes = placed.groupBy(F.shiftright("id__", 33).alias("range__")).agg(F.count("*").alias("n__"))  # a row a range
+    before = F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = F.broadcast(sizes.select("range__", F.coalesce(before, F.lit(0)).alias("before__")))
+    ranked = placed.join(sizes, F.shiftright("id__", 33) == F.col("range__"))
+    rank = F.col("before__") + F.col("id__").bitwiseAND((1 << 33) - 1) + 1
+    return ranked.withColumn("rank", rank).drop("id__", "range__", "before__")
 
 
 def top(df: DataFrame, key: str, k: int) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from colloquy import providers
 from colloquy.functions.fixed import PATIENT_FORMS, SPOKEN_FORMS
 from colloquy.operators import chunks, clean, cluster, parse, punctuation, roles, sections, sentences, tree, vectors
 from colloquy.plans.preprocess import preprocess
+from colloquy.sources import csv
+from colloquy.sources.shared import shared_dir
 from colloquy.sources.tables import dialogues, spread, table, tagged_turns
 
 _QUERIES: dict = {}
@@ -101,6 +107,24 @@ def clean_patient_lines(spark, sf):
     return _dialogues(spark, sf).select("conv_id", clean.rewrite_patient(F.col("dialogue")).alias("rewritten"))
 
 
+def _person(body: str) -> str:
+    body = f"lower({body})"
+    for k, v in PATIENT_FORMS:
+        if "\\b" in k:
+            body = rf"regexp_replace({body}, '(^|[^\p{{L}}\p{{N}}_])' || {_text(k.replace(chr(92) + 'b', ''))} || '([^\p{{L}}\p{{N}}_]|$)', '\1' || {_text(v)} || '\2', 'g')"
+        else:
+            body = f"regexp_replace({body}, {_text(k)}, {_text(v)}, 'g')"
+    return body
+
+
+@_query(rf"""WITH u AS (SELECT conv_id, turn, {TAG} AS role, replace(text, chr(10), ' ') AS text FROM conversations),
+s AS (SELECT *, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.?])(\s)', '\1' || chr(1) || '\2', 'g'), '([\p{{L}}\p{{N}}_]\.[\p{{L}}\p{{N}}_][.?])' || chr(1), '\1', 'g'), '([A-Z][a-z]\.)' || chr(1), '\1', 'g'), chr(1) || '\s') AS s FROM u)
+SELECT conv_id, string_agg(role || ' ' || CASE WHEN role = '[patient]' THEN array_to_string(list_transform(s, lambda x: {_person('x')}), ' ') ELSE text END, chr(10) ORDER BY turn) AS rewritten FROM s GROUP BY conv_id""")
+def clean_patient_sentences(spark, sf):
+    """The patient's lines rewritten a sentence at a time."""
+    return _dialogues(spark, sf).select("conv_id", clean.rewrite_patient(F.col("dialogue"), splitter=sentences.split_sentences).alias("rewritten"))
+
+
 _STEP = f"""WITH {DIALOGUES},
 s AS (SELECT conv_id, dialogue, {_replaced(POINT.format('dialogue'))} AS r FROM d),
 t AS (SELECT conv_id, dialogue, regexp_extract_all(r, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS t FROM s),
@@ -160,6 +184,22 @@ def parse_named(spark, sf):
     return rows.groupBy("conv_id").agg(text.alias("dialogue")).select("conv_id", F.size(said).cast("long").alias("n_utterances"), parse.join(said, "A", spaced=True).alias("joined"))
 
 
+@_query(f"WITH {UTTERANCES} SELECT conv_id, pos, role, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]'))::BIGINT AS n_tokens FROM u")
+def parse_annotated(spark, sf):
+    """A language provider over batches of utterances."""
+    rows = parse.annotated(_dialogues(spark, sf), "dialogue", providers.get("language", "tokens"))
+    return rows.select("conv_id", "pos", "role", F.size("annotation").cast("long").alias("n_tokens"))
+
+
+@_query(f"WITH {UTTERANCES} SELECT conv_id::VARCHAR AS conv_id, count(*) AS n_utterances, string_agg(role || text, chr(10) ORDER BY pos) AS joined FROM u GROUP BY conv_id")
+def csv_round_trip(spark, sf):
+    """Dialogues written as CSV and read back with their utterances."""
+    where = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    csv.save(_dialogues(spark, sf), where)
+    back = csv.read_dataset(spark, where, "dialogue", index_column="conv_id")
+    return back.select("conv_id", F.size("utterances").cast("long").alias("n_utterances"), parse.join(F.col("utterances")).alias("joined"))
+
+
 # Punctuation
 
 
@@ -195,6 +235,25 @@ def restore_rendered(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", punctuation.render(words, labels).alias("rendered"))
 
 
+@_query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(t, '[?,;!]') THEN t ELSE '[doctor] ' || array_to_string(list_filter(regexp_split_to_array(regexp_replace(body, '[.:]', '', 'g'), '\s+'), lambda w: w <> ''), ' ') END AS restored FROM (SELECT conv_id, turn, regexp_replace(split_part(text, chr(10), 1), '[0-9]', '', 'g') AS body, '[doctor] ' || regexp_replace(split_part(text, chr(10), 1), '[0-9]', '', 'g') AS t FROM conversations)")
+def restore_unless_marked(spark, sf):
+    """Texts with marks stay; the others' words stand alone. Digits go first, since marks beside them are kept."""
+    one = F.concat(F.lit("[doctor] "), F.regexp_replace(F.split("text", "\n")[0], "[0-9]", ""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", punctuation.restore_dialogue(one, enforce=False, provider=punctuation.plain).alias("restored"))
+
+
+def _by_length():
+    """A labeller: a dot after words of three, six, ... letters, a comma after those of four, seven, ..."""
+    return lambda runs: [[".,0"[len(w) % 3] for w in words] for words in runs]
+
+
+@_query(rf"WITH {UTTERANCES}, r AS (SELECT conv_id, pos, role, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[0-9]', '', 'g'), '[.,;:!?]', '', 'g'), '\s+'), lambda w: w <> '') AS w FROM u) SELECT conv_id, string_agg(role || ' ' || array_to_string(list_transform(w, lambda x: x || CASE length(x) % 3 WHEN 0 THEN '.' WHEN 1 THEN ',' ELSE '' END), ' '), chr(10) ORDER BY pos) AS restore_punctuation_dialogue FROM r GROUP BY conv_id")
+def restore_by_model(spark, sf):
+    """A labelling model over the runs of words, made once a worker; this one labels by length."""
+    turns = table(spark, sf, "conversations").withColumn("text", F.regexp_replace("text", "[0-9]", ""))
+    return punctuation.restore_punctuation(dialogues(turns), "dialogue", provider=punctuation.model(_by_length)).drop("dialogue")
+
+
 # Roles
 
 _ASKED = f"""{UTTERANCES}, n AS (SELECT conv_id, coalesce(sum(length(text) - length(replace(text, ',', ''))) FILTER (WHERE role = '[doctor]'), 0)::BIGINT AS by_doctor,
@@ -229,6 +288,16 @@ def sentence_counts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(sentences.split_sentences(c)).cast("long").alias("n_sentences"), sentences.meaningful(c).alias("meaningful"), F.size(sentences.tokens(c)).cast("long").alias("n_tokens"))
 
 
+#: Texts with chr(1) at the ends of their sentences.
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace({0}, '([.?])(\s)', '\1' || chr(1) || '\2', 'g'), '([\p{{L}}\p{{N}}_]\.[\p{{L}}\p{{N}}_][.?])' || chr(1), '\1', 'g'), '([A-Z][a-z]\.)' || chr(1), '\1', 'g')"
+
+
+@_query(rf"""WITH s AS (SELECT conv_id, turn, regexp_split_to_array({_MARKED.format('text')}, chr(1) || '\s') AS s FROM conversations)
+SELECT conv_id, turn, (unnest(range(1, len(s) + 1)) - 1)::INTEGER AS sent_pos, unnest(s) AS sentence FROM s""")
+def sentence_texts(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(sentences.split_sentences(F.col("text"))).alias("sent_pos", "sentence"))
+
+
 @_query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
 m AS (SELECT conv_id, turn, i, CASE WHEN len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '' AND NOT (starts_with(w, '[') OR ends_with(w, ']')))) >= 3 THEN s ELSE '#' || s END AS s FROM l)
 SELECT conv_id, turn, string_agg(s, '|' ORDER BY i) AS marked FROM m GROUP BY conv_id, turn""")
@@ -253,6 +322,30 @@ def chunk_turns(spark, sf):
     return df.where(F.size("c") > 0).select("conv_id", "turn", F.size("c").cast("long").alias("n_chunks"), F.array_join("c", "|").alias("chunks"))
 
 
+_TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'))"
+
+
+@_query(rf"""WITH RECURSIVE p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda s: {{'s': s, 'n': {_TOKENS.format('s')}}}), lambda x: regexp_matches(x.s, '\S')) AS l FROM conversations),
+g AS (SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS x FROM p),
+h AS (SELECT conv_id, turn, k, list_transform(list_filter(list_transform(regexp_split_to_array(x.s, '[,;:]'), lambda s: trim(s)), lambda s: s <> ''), lambda s: {{'s': s, 'n': {_TOKENS.format('s')}}}) AS l FROM g WHERE x.n > 12),
+b AS (SELECT conv_id, turn, k, l, 1 AS i, []::VARCHAR[] AS chunks, []::VARCHAR[] AS held, []::BIGINT[] AS counts, 0::BIGINT AS used FROM h
+  UNION ALL SELECT conv_id, turn, k, l, i + 1, CASE WHEN used + l[i].n > 12 AND len(held) > 0 THEN list_append(chunks, array_to_string(held, ' ')) ELSE chunks END,
+    list_append(CASE WHEN used + l[i].n > 12 AND len(held) > 0 THEN held[-1:] ELSE held END, l[i].s), list_append(CASE WHEN used + l[i].n > 12 AND len(held) > 0 THEN counts[-1:] ELSE counts END, l[i].n),
+    CASE WHEN used + l[i].n > 12 AND len(held) > 0 THEN coalesce(counts[-1], 0) + l[i].n ELSE used + l[i].n END FROM b WHERE i <= len(l)),
+o AS (SELECT conv_id, turn, k, CASE WHEN len(held) > 0 THEN list_append(chunks, array_to_string(held, ' ')) ELSE chunks END AS parts FROM b WHERE i > len(l)),
+q AS (SELECT conv_id, turn, list({{'s': x.s, 'n': x.n, 'parts': parts}} ORDER BY k) AS l FROM g LEFT JOIN o USING (conv_id, turn, k) GROUP BY conv_id, turn),
+f AS (SELECT conv_id, turn, l, 1 AS i, []::VARCHAR[] AS chunks, []::VARCHAR[] AS held, []::BIGINT[] AS counts, 0::BIGINT AS used FROM q
+  UNION ALL SELECT conv_id, turn, l, i + 1, CASE WHEN l[i].n > 12 THEN list_concat(chunks, l[i].parts) WHEN used + l[i].n > 12 THEN list_append(chunks, array_to_string(held, ' ')) ELSE chunks END,
+    CASE WHEN l[i].n > 12 THEN held WHEN used + l[i].n > 12 THEN list_append(held[-1:], l[i].s) ELSE list_append(held, l[i].s) END,
+    CASE WHEN l[i].n > 12 THEN counts WHEN used + l[i].n > 12 THEN list_append(counts[-1:], l[i].n) ELSE list_append(counts, l[i].n) END,
+    CASE WHEN l[i].n > 12 THEN used WHEN used + l[i].n > 12 THEN coalesce(counts[-1], 0) + l[i].n ELSE used + l[i].n END FROM f WHERE i <= len(l))
+SELECT conv_id, turn, array_to_string(CASE WHEN len(held) > 0 THEN list_append(chunks, array_to_string(held, ' ')) ELSE chunks END, '|') AS chunks FROM f WHERE i > len(l)""")
+def chunk_overlapping(spark, sf):
+    """Chunks of 12 tokens that share a piece; most sentences are over that and are cut at their marks."""
+    df = spread(table(spark, sf, "conversations")).select("conv_id", "turn", chunks.pack(F.col("text"), 12, 1).alias("c"))
+    return df.where(F.size("c") > 0).select("conv_id", "turn", F.array_join("c", "|").alias("chunks"))
+
+
 # Vectors
 
 _PAIR = "q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -280,6 +373,36 @@ def vector_nearest(spark, sf):
     return ranked.select("label", "vec_id", "rank")
 
 
+_L1 = f"round(list_sum({_DIFF}), 9)"
+
+
+@_query(f"WITH {_PAIR} SELECT vec_id, row_number() OVER (ORDER BY {_L1}, vec_id) AS nearest, row_number() OVER (ORDER BY {_L1} DESC, vec_id) AS farthest, row_number() OVER (PARTITION BY label ORDER BY {_L1} DESC, vec_id)::INTEGER AS farthest_of_label FROM e, q")
+def vector_ranks(spark, sf):
+    """Ranks over all rows, up and down, and down by label."""
+    e, q = _pairs(spark, sf)
+    away = vectors.distances(e, q, "embedding", "query", "L1").select("vec_id", "label", F.round("distance", 9).alias("distance"))
+    up = vectors.nearest(away, "vec_id").select("vec_id", F.col("rank").alias("nearest"))
+    down = vectors.nearest(away, "vec_id", descending=True).select("vec_id", F.col("rank").alias("farthest"))
+    own = vectors.nearest(away, "vec_id", ["label"], descending=True).select("vec_id", F.col("rank").alias("farthest_of_label"))
+    return up.join(down, "vec_id").join(own, "vec_id")
+
+
+@_query(f"WITH {_PAIR} SELECT vec_id, {_L1} AS distance FROM e, q ORDER BY distance, vec_id LIMIT 25")
+def vector_top(spark, sf):
+    e, q = _pairs(spark, sf)
+    away = vectors.distances(e, q, "embedding", "query", "L1").select("vec_id", F.round("distance", 9).alias("distance"))
+    return vectors.top(away, "vec_id", 25)
+
+
+@_query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS own, round(-embedding[2]::DOUBLE, 6) + 0.0 AS turned, true AS none FROM embeddings")
+def vector_pick(spark, sf):
+    """A node's vectors by the name of the model that made them."""
+    v = vectors.doubles(F.col("embedding"))
+    named = F.create_map(F.lit("own"), v, F.lit("turned"), F.transform(v, lambda x: -x))
+    first = lambda model, i: F.round(F.get(vectors.pick(named, model), F.lit(i)), 6) + 0.0
+    return table(spark, sf, "embeddings").select("vec_id", first("own", 0).alias("own"), first("turned", 1).alias("turned"), vectors.pick(named, "other").isNull().alias("none"))
+
+
 @_query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: 3 * x::DOUBLE) AS v FROM embeddings) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) + 0.0 AS total, round(v[1] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS first FROM e")
 def vector_normalised(spark, sf):
     v = vectors.normalise(F.transform(vectors.doubles(F.col("embedding")), lambda x: x * 3))
@@ -302,19 +425,50 @@ def cluster_centres(spark, sf):
 # Clusters
 
 
-@_query("WITH e AS (SELECT label, vec_id, list_transform(embedding[1:2], lambda x: x > 0) AS v FROM embeddings) SELECT label, vec_id, len(same)::BIGINT AS n_same, same[1] AS first_same FROM (SELECT label, v, list(vec_id ORDER BY vec_id) AS same FROM e GROUP BY label, v) JOIN e USING (label, v)")
+@_query("WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 0) + 0.0) AS v FROM embeddings) SELECT label, vec_id, min(vec_id) OVER (PARTITION BY label, v) AS first_same, count(*) OVER (PARTITION BY label, v) AS n_same FROM e")
 def cluster_duplicates(spark, sf):
-    """Equal vectors of a group; the vectors are the signs of two coordinates, so that there are some."""
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x > 0).alias("v"))
-    return cluster.duplicates(e, "label", "vec_id", "v").select("label", "vec_id", F.size("same").cast("long").alias("n_same"), F.get("same", F.lit(0)).alias("first_same"))
+    """Equal vectors of a group; the vectors are rounded to whole numbers, so that there are some."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform(vectors.doubles(F.col("embedding")), lambda x: F.round(x, 0) + 0.0).alias("v"))
+    return cluster.duplicates(e, "label", "vec_id", "v")
 
 
-@_query("WITH e AS (SELECT label, vec_id, list_filter([0, 1, 2], lambda k: abs(embedding[k + 1]) > 0.1) AS l FROM embeddings) SELECT label AS cluster_of, k::INTEGER AS label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS nodes FROM (SELECT label, vec_id, unnest(l) AS k FROM e) GROUP BY 1, 2")
+@_query("WITH e AS (SELECT label, vec_id, list_filter(range(len(embedding)), lambda k: abs(embedding[k + 1]) > 0.3) AS l FROM embeddings) SELECT label AS cluster_of, unnest(l)::INTEGER AS label, vec_id FROM e")
 def cluster_regroup(spark, sf):
-    """Regrouping by ascending label; labels are the first coordinates over a threshold: none to three a node."""
-    own = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.abs(F.get("embedding", k)) > F.lit(0.1))
+    """Regrouping by label; labels are the coordinates over a threshold: none, one or more a node."""
+    own = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: F.abs(F.get("embedding", k)) > F.lit(0.3))
     e = table(spark, sf, "embeddings").select(F.col("label").alias("cluster_of"), "vec_id", own.alias("labels"))
-    return cluster.regroup(e, "cluster_of", "vec_id").select("cluster_of", "label", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+    return cluster.regroup(e, "cluster_of", "vec_id").select("cluster_of", "label", "vec_id")
+
+
+@_query(f"""WITH t AS (SELECT conv_id, coalesce(length(text), 0)::DOUBLE AS x, turn::DOUBLE AS y FROM conversations),
+m AS (SELECT conv_id, count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM t GROUP BY conv_id),
+r AS (SELECT conv_id, n, a, b, c, (a + {cluster.REGULAR}) * (b + {cluster.REGULAR}) - c * c AS det FROM m)
+SELECT conv_id, n AS n_points, round(n * (2 * ln(2 * pi()) + ln(det) + ((b + {cluster.REGULAR}) * a + (a + {cluster.REGULAR}) * b - 2 * c * c) / det) + 5 * ln(n), 3) AS bic FROM r""")
+def mixture_bic_of_one(spark, sf):
+    """The BIC of a single Gaussian over each conversation's (length of text, turn), which has a closed form."""
+    import numpy as np
+
+    turns = table(spark, sf, "conversations").select("conv_id", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("x"), F.col("turn").cast("double").alias("y"))
+
+    def fit(pdf):
+        made = cluster.Mixture(np.stack((pdf["x"], pdf["y"]), 1), 1)
+        return type(pdf)({"conv_id": [pdf["conv_id"].iloc[0]], "n_points": [made.n], "bic": [round(made.bic, 3)]})
+
+    return turns.groupBy("conv_id").applyInPandas(fit, "conv_id long, n_points long, bic double")
+
+
+@_query("WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: abs(x::DOUBLE)) AS v FROM embeddings), p AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM e) SELECT vec_id, array_to_string(list_filter(range(4), lambda k: p[k + 1] > 0.4), ',') AS labels FROM p")
+def mixture_memberships(spark, sf):
+    """Components over the threshold; the probabilities are the shares of four coordinates."""
+    import numpy as np
+
+    @F.pandas_udf("array<int>")
+    def over(weights: pd.Series) -> pd.Series:
+        w = np.abs(np.stack(weights.to_numpy()))
+        return pd.Series(cluster.memberships(w / w.sum(1, keepdims=True)))
+
+    first = F.slice(vectors.doubles(F.col("embedding")), 1, 4)
+    return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(over(first), lambda x: x.cast("string")), ",").alias("labels"))
 
 
 @_query("WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <= 11) SELECT conv_id, turn, '0' AS labels FROM conversations JOIN c USING (conv_id)")
@@ -353,16 +507,16 @@ def _sections(spark, sf):
     return e, vectors.centres(e, "label", "embedding").select(F.col("label").alias("section_pos"), F.col("centre").alias("section_vector"))
 
 
-@_query(f"WITH {_SECTIONS}, {_HITS} SELECT section_pos, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS nodes FROM h GROUP BY section_pos")
+@_query(f"WITH {_SECTIONS}, {_HITS} SELECT section_pos, vec_id FROM h")
 def section_assign(spark, sf):
     e, s = _sections(spark, sf)
-    return sections.assign(e, s, "vec_id", "embedding", _LIKE).select("section_pos", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+    return sections.assign(e, s, "vec_id", "embedding", _LIKE)
 
 
-@_query(f"WITH {_SECTIONS}, {_HITS}, m AS (SELECT vec_id, count(*) AS m FROM h GROUP BY vec_id) SELECT k::INTEGER AS section_pos, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS nodes FROM (SELECT vec_id, unnest(range(0, m)) AS k FROM m) GROUP BY k")
+@_query(f"WITH {_SECTIONS}, {_HITS}, m AS (SELECT vec_id, count(*) AS m FROM h GROUP BY vec_id) SELECT unnest(range(0, m))::INTEGER AS section_pos, vec_id FROM m")
 def section_assign_ordinal(spark, sf):
     e, s = _sections(spark, sf)
-    return sections.assign(e, s, "vec_id", "embedding", _LIKE, compat="ordinal").select("section_pos", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+    return sections.assign(e, s, "vec_id", "embedding", _LIKE, compat="ordinal")
 
 
 @_query("SELECT doc_id, (unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1)::INTEGER AS node_index, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS text FROM documents")

@@ -1,7 +1,7 @@
 """Named providers for what pretrained models would do, made once a Python worker.
 
-Registered by default: `punctuation` plain and keep, `encoder` hashed, `summary` extractive. Others
-(sentence splitters, question answering) have a slot and no default; a factory is given with `register`.
+Registered by default: `punctuation` plain and keep, `sentences` pattern, `language` tokens, `encoder` hashed,
+`summary` extractive. Question answering has a slot and no default; a factory is given with `register`.
 """
 
 from __future__ import annotations
@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from colloquy.operators import punctuation, vectors
+from colloquy.operators import parse, punctuation, sections, sentences, vectors
 
 _FACTORIES: dict[tuple[str, str], Callable[[], object]] = {
     ("punctuation", "plain"): lambda: punctuation.plain,
     ("punctuation", "keep"): lambda: punctuation.keep,
+    ("sentences", "pattern"): lambda: sentences.split_sentences,
+    ("language", "tokens"): lambda: parse.token_lists,
     ("encoder", "hashed"): vectors.hashed_embedder,
+    ("summary", "extractive"): lambda: sections.summarise,
 }
-KINDS = ("punctuation", "encoder", "sentences", "summary", "questions")
+KINDS = ("punctuation", "encoder", "sentences", "language", "summary", "questions")
 
 
 def register(kind: str, name: str, factory: Callable[[], object]) -> None:
