@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,12 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.sources.shared import shared_dir
+from colloquy.sources.tables import spread, table
+
 #: Bytes of text that a Python worker holds as Python objects at once.
 SLICE_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out over the cores if it lies in fewer partitions."""
+    return spread(table(spark, sf_dir, name))
 
 
 def tune(spark: SparkSession) -> None:
@@ -29,22 +31,20 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where it is unset (tests)."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    own = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 class Staging:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors."""
+    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors.
+
+    An operator drops a table as soon as nothing reads it; what a lazy result still reads goes when
+    the driver's JVM ends, if `drop` doesn't come before.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
         where = f"{self.path}/{name}"

@@ -1,8 +1,8 @@
 """Benchmark decontamination on a distributed positional inverted index. DataFrame operations only.
 
 Index. Each word of a text that occurs in the benchmark gives a posting (document, term, position);
-one more posting holds the text's end. The index is a table in the shared folder, written in one pass
-over the texts; all that follows reads the index alone, never the texts.
+one more posting holds the text's end. A document is a row, numbered as it is read. The index is a table in
+the shared folder, written in one pass over the texts; all that follows reads the index alone, never the texts.
 
 Search. A phrase is a window of WINDOW words of an item, or a whole shorter item; equal phrases are one.
 Phrases with a term that has no posting are out. Of each other one the two rarest terms' posting lists,
@@ -13,7 +13,7 @@ The vocabulary, the phrases and the candidate documents are broadcast only if th
 under SMALL; beyond that the same joins shuffle. Rows of a very frequent term are split by adaptive execution.
 
 Null text: no words. Null doc_id: a document like others. Null item_id: its phrases hit, but it isn't an
-item that is named. Repeated rows: a row each; one id with several texts: each text by itself. Empty
+item that is named. Repeated rows and rows of one id: each by itself. Empty
 tables: no hits. Other columns are not read. Long texts are whole.
 """
 
@@ -33,6 +33,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATOR), lambda w: w != "")
 
 
+def marks_of(doc_id: Column, text: Column) -> list[Column]:
+    """Two digests of 64 bits of a row's id and text."""
+    return [F.xxhash64(doc_id, F.coalesce(text, F.lit(""))), F.xxhash64(F.lit(1), doc_id, F.coalesce(text, F.lit("")))]
+
+
 def lowered(word: Column) -> Column:
     """A-Z only; lower() is the fast test of whether there is anything to do."""
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, UPPER, LOWER))
@@ -55,18 +60,19 @@ class PhraseIndex:
         end = "\x00"  # not a word of any text
         ends = self.terms.sparkSession.createDataFrame([(end, END)], "word string, term long")
         known = _small(staging.write(self.terms.unionByName(ends), "known"))
-        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        said = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.array_append(words(F.col("text")), F.lit(end))).alias("pos", "raw"))
-        posted = said.select("doc_id", "doc", "pos", lowered(F.col("raw")).alias("word")).join(known, "word")
-        self.postings = staging.write(posted.select("doc_id", "doc", "pos", "term"), "postings", compression="zstd")
+        texts = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+        marks = F.array(*marks_of(F.col("doc_id"), F.col("text")))
+        said = texts.select("doc_id", "doc", marks.alias("marks"), F.posexplode(F.array_append(words(F.col("text")), F.lit(end))).alias("pos", "raw"))
+        posted = said.select("doc_id", "doc", "marks", "pos", lowered(F.col("raw")).alias("word")).join(known, "word")
+        self.postings = staging.write(posted.select("doc_id", "doc", "pos", "term", F.when(F.col("term") == END, F.col("marks")).alias("marks")), "postings", compression="zstd")
 
     def documents(self) -> DataFrame:
-        """doc_id, doc and n_words of every row."""
-        return self.postings.where(F.col("term") == END).select("doc_id", "doc", F.col("pos").cast("long").alias("n_words"))
+        """doc_id, doc, marks and n_words of every row."""
+        return self.postings.where(F.col("term") == END).select("doc_id", "doc", "marks", F.col("pos").cast("long").alias("n_words"))
 
     def phrases(self, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
         """Distinct phrases that can occur (phrase, n, parts of (frequency, offset, term), rarest first) and the items of each."""
-        frequency = self.postings.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
+        frequency = self.staging.write(self.postings.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("frequency")), "frequency")
         cut = self.items.select(
             "item_id",
             F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.slice("w", i, window))).alias("w"),
@@ -74,7 +80,7 @@ class PhraseIndex:
         cut = self.staging.write(cut.select("item_id", "w", F.sha2(F.array_join("w", " "), 256).alias("phrase")), "cut")
         owners = cut.where("item_id IS NOT NULL").select("phrase", "item_id").distinct()
         parts = cut.select("phrase", "w").dropDuplicates(["phrase"]).select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("offset", "word"))
-        parts = parts.join(self.terms, "word").join(frequency.withColumnRenamed("n", "frequency"), "term")
+        parts = parts.join(_small(self.terms), "word").join(_small(frequency), "term")
         grouped = parts.groupBy("phrase", "n").agg(F.array_sort(F.collect_list(F.struct("frequency", "offset", "term"))).alias("parts"))
         return self.staging.write(grouped.where(F.size("parts") == F.col("n")), "phrases"), owners
 
@@ -89,8 +95,8 @@ class PhraseIndex:
         both = first.where("other IS NOT NULL").join(second, ["doc", "other", "next"], "left_semi").select("phrase", "n", "doc", "start")
         starts = self.staging.write(both.union(first.where("other IS NULL").select("phrase", "n", "doc", "start")).distinct(), "starts")
         held = self.staging.write(starts.where("n > 2").select("doc").distinct(), "held")
-        lists = posted.join(_small(held), "doc", "left_semi").distinct()
-        whole = phrases.select("phrase", F.explode(F.slice("parts", 3, WINDOW * 100)).alias("p")).select("phrase", "p.offset", "p.term")
+        lists = posted.join(_small(held), "doc", "left_semi")
+        whole = phrases.select("phrase", F.explode(F.slice("parts", F.lit(3), F.size("parts"))).alias("p")).select("phrase", "p.offset", "p.term")
         whole = self.staging.write(whole, "rest")
         proof = starts.where("n > 2").join(_small(whole), "phrase").select("phrase", "n", "doc", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
         proven = proof.join(lists, ["doc", "pos", "term"], "left_semi").groupBy("phrase", "n", "doc", "start").agg(F.count("*").alias("k")).where("k = n - 2")
@@ -102,7 +108,7 @@ class PhraseIndex:
         order; the first of equals."""
         flat = phrases.select("phrase", F.col("parts")[0].term.alias("key"), F.explode("parts.term").alias("term")).groupBy("phrase", "key", "term").agg(F.count("*").cast("int").alias("need"))
         flat = flat.withColumn("kinds", F.count("*").over(Window.partitionBy("phrase")))
-        posted = self.postings.select("doc", "pos", "term").distinct()
+        posted = self.postings.select("doc", "pos", "term")
         centres = posted.withColumnsRenamed({"term": "key", "pos": "centre"}).join(flat, "key")
         near = centres.select("phrase", "kinds", "doc", "centre", "term", "need", F.explode(F.sequence(F.col("centre") - span + 1, F.col("centre") + span - 1)).alias("pos")).join(posted, ["doc", "term", "pos"])
         places = near.groupBy("phrase", "kinds", "doc", "centre", "term", "need").agg(F.array_sort(F.collect_list("pos")).alias("at"))
@@ -115,7 +121,7 @@ class PhraseIndex:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, staging: Staging, window: int = WINDOW) -> DataFrame:
-    """doc_id, doc (xxhash64 of id and text), n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, marks (128 bits of id and text, as `marks_of` has them), n_words, n_hit, n_items, items_sha256, contaminated."""
     index = PhraseIndex(docs, items, staging)
     phrases, owners = index.phrases(window)
     hits = staging.write(index.exact(phrases), "hits")
@@ -127,12 +133,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, staging: Staging, window: i
     out = index.documents().join(_small(found), "doc", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("names", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "doc", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated")
+        "doc_id", "marks", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated")
     )
 
 
 def op9_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Staging(spark, "phrases")).drop("doc")
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Staging(spark, "phrases")).drop("marks")
 
 
 #: The same rows by looking up every window of every text among the items' windows.

@@ -40,7 +40,7 @@ def ours(spark, docs, items):
     staging = Staging(spark, "test-phrases")
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as pos", "'q' as term", "2 as item_id")
     i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as w", "'x' as phrase")
-    got = sorted((tuple(r) for r in op.decontaminate(d, i, staging).drop("doc").collect()), key=repr)
+    got = sorted((tuple(r) for r in op.decontaminate(d, i, staging).drop("marks").collect()), key=repr)
     staging.drop()
     return got
 
@@ -113,6 +113,15 @@ def test_proximity_equals_brute_force(spark):
     assert any(r[:2] == (1, 2) for r in want) and not any(r[:2] == (1, 1) for r in want)
 
 
+def test_a_window_longer_than_any_fixed_cut(spark):
+    item = " ".join(f"w{i}" for i in range(1_500))
+    staging = Staging(spark, "test-phrases")
+    d = spark.createDataFrame([(1, "x " + item), (2, item[:-1])], "doc_id long, text string")
+    got = op.decontaminate(d, spark.createDataFrame([(1, item)], "item_id long, text string"), staging, window=1_400).collect()
+    staging.drop()
+    assert sorted((r.doc_id, r.n_hit) for r in got) == [(1, 1_500), (2, 1_499)]
+
+
 def test_native_plan(spark):
     plan = op.op9_phrase_decontamination(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
