@@ -112,6 +112,33 @@ _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+class PrimeHash:
+    """Polynomial hashes modulo two primes of any span of bytes: 62 bits beside RollingHash's, with which they
+    share no structure (texts that agree modulo 2^64 for any base are easily made)."""
+
+    PRIMES, BASES = (2**31 - 1, 2**31 - 19), (1_103_515_245, 1_664_525_017)
+    _powers: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def _upto(cls, base: int, prime: int, n: int) -> np.ndarray:
+        known = cls._powers.get(base * prime, np.ones(1, np.uint64))
+        while len(known) <= n:
+            known = np.concatenate((known, known * np.uint64(pow(base, len(known), prime)) % np.uint64(prime)))
+        cls._powers[base * prime] = known
+        return known
+
+    def __init__(self, body: np.ndarray):
+        self.parts, value = [], body.astype(np.uint64) + np.uint64(1)
+        for base, prime in zip(self.BASES, self.PRIMES):
+            sums = np.zeros(len(body) + 1, np.uint64)
+            np.cumsum(value * self._upto(base, prime, len(body))[: len(body)] % np.uint64(prime), out=sums[1:])
+            self.parts.append((sums, self._upto(pow(base, -1, prime), prime, len(body)), np.uint64(prime)))
+
+    def spans(self, at: np.ndarray, length) -> np.ndarray:
+        high, low = ((sums[at + length] - sums[at]) % prime * down[at] % prime for sums, down, prime in self.parts)
+        return high << np.uint64(32) | low
+
+
 class RollingHash:
     """Polynomial hashes modulo 2^64 of any span of bytes, from one running sum."""
 

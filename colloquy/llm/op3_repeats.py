@@ -11,8 +11,10 @@ follow, each over a smaller part of it:
    opened only if its anchor has several contexts, and then once for each context.
 3. Suffixes. The strings of opened runs, that is, dictionary suffixes with their parse context, are compared one by one.
 
-The order of suffixes is that of 64-bit fingerprints, not the alphabet's: with one fixed length, only
-equality of prefixes counts. Fingerprints of 64 bits of distinct strings meet with a chance of n^2 / 2^65.
+The order of suffixes is that of fingerprints, not the alphabet's: with one fixed length, only equality of
+prefixes counts. Contexts and strings are equal if two hashes of no common structure are, 126 bits
+together: distinct ones among n meet with a chance of n^2 / 2^127. Phrases and anchors go by one of 64 bits, since
+a chance meeting there only has more compared.
 
 Texts are packed in shards of SHARD bytes. A shard sends its sorted distinct fingerprints, cut into
 ranges; a range's task answers each shard with a bit or two per fingerprint, so that a fingerprint that
@@ -27,15 +29,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm.common import RollingHash, Staging, claim, mix64, ragged, read_table, tune
+from colloquy.llm.common import PrimeHash, RollingHash, Staging, claim, mix64, ragged, read_table, tune
+from colloquy.llm.packed import ask, bits, questions
 
 LENGTH, TRIGGER, SPACING, NEAR = 200, 16, 24, 100
 SHARD, RANGE_KEYS = 1 << 20, 1 << 20
+
+
 class Texts(RollingHash):
     """Texts one after another, with rolling hashes of any span."""
 
@@ -43,8 +47,13 @@ class Texts(RollingHash):
         self.body, self.lengths = np.frombuffer(body, np.uint8), lengths
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
+        self.prime: PrimeHash | None = None
         super().__init__(self.body)
 
+    def proofs(self, at: np.ndarray, length) -> np.ndarray:
+        self.prime = self.prime or PrimeHash(self.body)
+        return self.prime.spans(at, length)
+
     def fits(self, length: int) -> np.ndarray:
         """Whether a span from each byte stays in its text."""
         out = np.ones(len(self.body), bool)
@@ -84,10 +93,11 @@ class Texts(RollingHash):
         first = np.flatnonzero(new)
         return found[first], found[np.append(first[1:], len(found)) - 1], np.where(near, trigger, -1)[first]
 
-    def keys(self, low: np.ndarray, high: np.ndarray, trigger: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor and context of each run, and whether it has no near trigger."""
-        context, far = self.spans(low, high - low + LENGTH), trigger < 0
-        return np.where(far, mix64(context), self.spans(np.where(far, low, trigger), NEAR)), context, far
+    def keys(self, low: np.ndarray, high: np.ndarray, trigger: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor and context (two hashes) of each run, and whether it has no near trigger."""
+        length, far = high - low + LENGTH, trigger < 0
+        context = self.spans(low, length)
+        return np.where(far, mix64(context), self.spans(np.where(far, low, trigger), NEAR)), context, self.proofs(low, length), far
 
 
 def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,48 +112,25 @@ def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, place, np.bincount(place, minlength=len(rows)) > 1
 
 
-def _cut(sorted_keys: np.ndarray, ranges: int) -> list[int]:
-    """Edges of equal ranges of the 64-bit space among sorted keys."""
-    return np.searchsorted((sorted_keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64)).tolist()
-
-
-ASK = "range int, shard long, keys binary, contexts binary, flags binary"
+def _twice(shard: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """1 for a key that occurs again."""
+    _, place, again = distinct(keys)
+    return again[place].astype(np.uint8) | flags & 1
 
 
-def _questions(shard: int, ranges: int, keys: np.ndarray, twice: np.ndarray, contexts: np.ndarray | None = None, far: np.ndarray | None = None) -> pa.RecordBatch:
-    edges, flags = _cut(keys, ranges), twice.astype(np.uint8) | (0 if far is None else far.astype(np.uint8) << 1)
-    rows = [(i, shard, keys[a:b].tobytes(), b"" if contexts is None else contexts[a:b].tobytes(), flags[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["range", "shard", "keys", "contexts", "flags"])
+def _again(shard: np.ndarray, keys: np.ndarray, proof: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """1 for a string that occurs again."""
+    _, place, again = distinct(keys, proof)
+    return again[place].astype(np.uint8) | flags & 1
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One byte a key: 1 if it occurs again, 2 if its run is to be opened."""
-    pdf = pdf.sort_values("shard")
-    counts = [len(f) for f in pdf["flags"]]
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-    flags = np.frombuffer(b"".join(pdf["flags"]), np.uint8)
-    if pdf["contexts"].iloc[0]:
-        rows, place, again = distinct(keys, np.frombuffer(b"".join(pdf["contexts"]), np.uint64))
-        _, of_anchor, several = distinct(keys[rows])
-        first = np.zeros(len(keys), bool)
-        first[rows] = True  # distinct() keeps the order of shards, so this is a context's first
-        out = (again[place] | (flags & 1 > 0)).astype(np.uint8) | (first & (several[of_anchor][place] | (flags & 2 > 0))).astype(np.uint8) << 1
-    else:
-        _, place, again = distinct(keys)
-        out = again[place].astype(np.uint8) | flags & 1
-    edges = np.cumsum([0, *counts]).tolist()
-    return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "range": pdf["range"].to_numpy(), "bits": [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]})
-
-
-def _ask(shards: DataFrame, questions, staging: Staging, name: str) -> DataFrame:
-    answers = shards.mapInArrow(questions, ASK).groupBy("range").applyInPandas(_answer, "shard long, range int, bits binary")
-    # one shard's answers: at most one a range
-    return staging.write(answers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "bits"))).alias(name)), name)
-
-
-def _bits(answers: list[dict] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(a["bits"] for a in answers or []), np.uint8)
+def _contexts(shard: np.ndarray, keys: np.ndarray, context: np.ndarray, proof: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """1 for a context that occurs again, 2 for a run that is to be opened: the first of its context, if its anchor has several."""
+    rows, place, again = distinct(keys, context, proof)
+    _, of_anchor, several = distinct(keys[rows])
+    first = np.zeros(len(keys), bool)
+    first[rows] = True  # distinct() keeps the order of shards, so this is a context's first
+    return (again[place] | (flags & 1 > 0)).astype(np.uint8) | (first & (several[of_anchor][place] | (flags & 2 > 0))).astype(np.uint8) << 1
 
 
 def _texts(row: dict, body: str = "body") -> Texts:
@@ -217,9 +204,9 @@ def removals(df: DataFrame, staging: Staging) -> DataFrame:
                 t = _texts(row)
                 hashes = t.phrases(t.triggers())[2]
                 rows, _, twice = distinct(hashes)
-                yield _questions(row["shard"], ranges, hashes[rows], twice)
+                yield questions(row["shard"], ranges, hashes[rows], flags=twice.astype(np.uint8))
 
-    known = _ask(shards.select("shard", "lengths", "body"), dictionary, staging, "phrases")
+    known = ask(shards.select("shard", "lengths", "body"), dictionary, {"flags": np.uint8}, _twice, staging, "phrases")
 
     def narrow(batches):
         schema = pa.schema([("shard", pa.int64()), ("names", _NAMES), ("lengths", pa.binary()), ("body", pa.binary()), ("runs", pa.binary()), ("n_runs", pa.int64()), ("n_strings", pa.int64()), ("done", _DONE)])
@@ -229,7 +216,7 @@ def removals(df: DataFrame, staging: Staging) -> DataFrame:
                 triggers = t.triggers()
                 at, end, hashes = t.phrases(triggers)
                 _, place, _ = distinct(hashes)
-                low, high, trigger = t.runs(triggers, at, end, (_bits(row["phrases"])[place] & 1) > 0)
+                low, high, trigger = t.runs(triggers, at, end, (bits(row["phrases"])[place] & 1) > 0)
                 own = np.searchsorted(t.ends, low, "right")
                 suspect = np.zeros(len(t.ends), bool)
                 suspect[own] = True
@@ -256,32 +243,32 @@ def removals(df: DataFrame, staging: Staging) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                anchor, context, far = _texts(row).keys(*_runs(row))
-                rows, _, twice = distinct(anchor, context)
-                yield _questions(row["shard"], run_ranges, anchor[rows], twice, context[rows], far[rows])
+                anchor, context, proof, far = _texts(row).keys(*_runs(row))
+                rows, _, twice = distinct(anchor, context, proof)
+                yield questions(row["shard"], run_ranges, anchor[rows], context=context[rows], proof=proof[rows], flags=twice.astype(np.uint8) | far[rows].astype(np.uint8) << 1)
 
-    contexts = _ask(work, parse, staging, "contexts")
+    contexts = ask(work, parse, {"context": np.uint64, "proof": np.uint64, "flags": np.uint8}, _contexts, staging, "contexts")
 
     def opened(row: dict, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Run bounds, whether each repeats, and the string starts that are asked for."""
         low, high, trigger = _runs(row)
-        anchor, context, _ = t.keys(low, high, trigger)
-        rows, place, _ = distinct(anchor, context)
-        bits, first = _bits(row["contexts"]), np.zeros(len(low), bool)
+        rows, place, _ = distinct(*t.keys(low, high, trigger)[:3])
+        said, first = bits(row["contexts"]), np.zeros(len(low), bool)
         first[rows] = True
-        ask = first & (bits[place] & 2 > 0)
-        return low, high, bits[place] & 1 > 0, ragged(low[ask], (high - low + 1)[ask])
+        asked = first & (said[place] & 2 > 0)
+        return low, high, said[place] & 1 > 0, ragged(low[asked], (high - low + 1)[asked])
 
     def suffixes(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 t = _texts(row)
-                hashes = t.spans(opened(row, t)[3], LENGTH)
-                rows, _, twice = distinct(hashes)
-                yield _questions(row["shard"], string_ranges, hashes[rows], twice)
+                asked = opened(row, t)[3]
+                hashes, proof = t.spans(asked, LENGTH), t.proofs(asked, LENGTH)
+                rows, _, twice = distinct(hashes, proof)
+                yield questions(row["shard"], string_ranges, hashes[rows], proof=proof[rows], flags=twice.astype(np.uint8))
 
     judged = work.join(contexts.hint("shuffle_hash"), "shard")
-    strings = _ask(judged, suffixes, staging, "strings")
+    strings = ask(judged, suffixes, {"proof": np.uint64, "flags": np.uint8}, _again, staging, "strings")
 
     def finish(batches):
         kinds = [(n, _DONE.value_type.field(n).type) for n in ("h1", "h2", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
@@ -289,9 +276,9 @@ def removals(df: DataFrame, staging: Staging) -> DataFrame:
             for row in batch.to_pylist():
                 t = _texts(row)
                 low, high, repeated, asked = opened(row, t)
-                _, place, _ = distinct(t.spans(asked, LENGTH))
-                bits = _bits(row["strings"])
-                starts = np.concatenate((asked[bits[place] & 1 > 0], ragged(low[repeated], (high - low + 1)[repeated])))
+                _, place, _ = distinct(t.spans(asked, LENGTH), t.proofs(asked, LENGTH))
+                said = bits(row["strings"])
+                starts = np.concatenate((asked[said[place] & 1 > 0], ragged(low[repeated], (high - low + 1)[repeated])))
                 gone = covered(len(t.body), starts)
                 out = [_result(name, row["body"][a:z], gone[a:z]) for name, a, z in zip(row["names"], t.starts.tolist(), t.ends.tolist()) if name]
                 yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))

@@ -135,7 +135,7 @@ def dedup(df: DataFrame, staging: Staging, unit: str = "sentence", context: int
                 _, _, _, digests, rank, firsts, _ = read(row)
                 yield packed.questions(row["shard"], ranges, digests[firsts, 0], low=digests[firsts, 1], rank=rank[firsts])
 
-    late = packed.ask(shards, send, ["low", "rank"], _late, staging, "late")
+    late = packed.ask(shards, send, {"low": np.uint64, "rank": np.uint64}, _late, staging, "late")
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def finish(batches):

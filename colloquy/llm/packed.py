@@ -70,14 +70,15 @@ def questions(shard: int, ranges: int, keys: np.ndarray, **columns: np.ndarray)
     return pa.RecordBatch.from_arrays(arrays, ["range", "shard", "keys", *columns])
 
 
-def ask(shards: DataFrame, run: Callable, columns: list[str], answer: Callable[..., np.ndarray], staging: Staging, name: str) -> DataFrame:
+def ask(shards: DataFrame, run: Callable, columns: dict[str, type], answer: Callable[..., np.ndarray], staging: Staging, name: str) -> DataFrame:
     """shard and `name`: one shard's answers in the order of its keys, a row a range at most.
 
-    run: of batches of shards to questions; answer: of shard, keys and columns (a value a key) to a byte a key.
+    run: of batches of shards to questions; answer: of shard (ascending), keys and columns (a value a key) to a byte a key.
     """
     def of_range(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
         sizes = [len(k) // 8 for k in pdf["keys"]]
-        given = [np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("keys", *columns)]
+        given = [np.frombuffer(b"".join(pdf[c]), kind) for c, kind in {"keys": np.uint64, **columns}.items()]
         out = answer(np.repeat(pdf["shard"].to_numpy(), sizes), *given).astype(np.uint8)
         edges = np.cumsum([0, *sizes]).tolist()
         return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "range": pdf["range"].to_numpy(), "bits": [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]})

@@ -4,8 +4,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from colloquy.llm import op3_repeats as op
+from colloquy.llm import common, op3_repeats as op
 from colloquy.llm.common import Staging
+from tests.llm.test_op10 import _twins
 
 
 def brute(rows):
@@ -78,3 +79,23 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in op.op3_repeated_bytes(spark, sf).collect()), key=repr) == brute(rows)
+
+
+def test_spans_that_agree_modulo_2_64_are_told_apart(spark):
+    rng = np.random.default_rng(8)
+    first, second = _twins(2048)
+    hashes = common.RollingHash(np.frombuffer((first + second).encode(), np.uint8))
+    at, n = np.array([0, 2048]), np.array([2048, 2048])
+    assert len(set(hashes.spans(at, n).tolist())) == 1
+    assert len(set(common.PrimeHash(hashes_body := np.frombuffer((first + second).encode(), np.uint8)).spans(at, n).tolist())) == 2 and len(hashes_body) == 4096
+    # without the twins' own repeats: letters of a random text in their places
+    noise = words(rng, 900)[:2048]
+    rows = [(1, first), (2, second), (3, noise + first[:300]), (4, noise[::-1] + second[100:700])]
+    assert ours(spark, rows) == brute(rows)
+
+
+def test_prime_hashes_of_equal_spans_agree():
+    body = np.frombuffer(b"q" * 50 + b"the same span of bytes" * 3 + b"zz" + b"the same span of bytes", np.uint8)
+    at = np.array([50, 72, 94, 118])
+    assert len(set(common.PrimeHash(body).spans(at, 22).tolist())) == 1
+    assert len(set(common.PrimeHash(body).spans(np.arange(50), 22).tolist())) > 20
