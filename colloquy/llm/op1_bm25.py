@@ -6,10 +6,11 @@ frequencies, the number of rows and the mean length are those of the whole table
 
 Queries go in blocks of about BLOCK_TERMS terms, each broadcast; their number follows the query set, and
 for each the shards are read once. For a query, the sum of its terms' block maxima bounds every score in
-a block; a block whose bound is under the query's k-th best score, which a task keeps across its shards, is
-skipped. In the others, frequent terms are scored for many queries at once as matrix products in single
-precision, rare ones by their postings; what then may be among the k best is scored again in double precision,
-term by term. Tasks' best are merged by score and id.
+a block. Blocks are taken in falling order of that bound, in rounds of ROUNDS blocks; each round raises the query's
+k-th best score, which a task keeps across its shards, and blocks with a bound under it are skipped. In
+the others, frequent terms are scored for many queries at once as matrix products in single precision, rare
+ones by their postings; what then may be among the k best is scored again in double precision, term by
+term. Tasks' best are merged by score and id.
 
 Terms: A-Z lowered, `[0-9a-z]` and all beyond ASCII; each distinct term of a query counts once. Scores sum
 in the order of terms, so equal texts score alike; ties go by doc_id, nulls last.
@@ -30,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colloquy.llm.common import Staging, cache, claim, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
-SHARD_BYTES, BLOCK, BLOCK_TERMS = 24 << 20, 64, 2_500_000
+SHARD_BYTES, SHARD_ROWS, BLOCK, BLOCK_TERMS = 24 << 20, 1 << 15, 64, 2_500_000
+#: Blocks up to which each round but the last goes; cells of a shard's matrix of frequent terms at most.
+ROUNDS, CELLS = (4, 24), 24_000_000
 #: Tasks' lists that are merged at once.
 MERGED = 100_000
 #: Queries scored together; the share of a shard's texts from which a term is frequent; what single precision may miss.
@@ -105,6 +108,9 @@ class Shard:
         # frequent terms as rows over all documents, and over blocks
         self.dense = np.full(len(self.terms), -1)
         often = np.flatnonzero(frequency >= max(2, DENSE * n))
+        most = CELLS // max(1, self.blocks * BLOCK)
+        if len(often) > most:  # the most frequent; the others count as rare
+            often = np.sort(often[np.argsort(-frequency[often], kind="stable")[:most]])
         self.dense[often] = np.arange(len(often))
         self.exact = np.zeros((len(often), self.blocks * BLOCK))
         place = self.dense[owner]
@@ -113,8 +119,9 @@ class Shard:
         self.tops = self.rows.reshape(len(often), self.blocks, BLOCK).max(2)
         self.column = np.full(n, -1)
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: list[np.ndarray], found: list[np.ndarray], k: int) -> None:
-        """Merges the shard's matches of (term places, weights) into best scores and (null flag, id) pairs."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: list[np.ndarray], found: list[np.ndarray], k: int) -> tuple[int, int]:
+        """Merges the shard's matches of (term places, weights) into best scores and (null flag, id) pairs.
+        Gives how many (query, block) pairs were scored, and how many there are with a term."""
         n = len(self.ids)
         frequent = np.zeros((len(queries), len(self.rows)), np.float32)
         bound = np.zeros((len(queries), self.blocks), np.float32)
@@ -129,27 +136,39 @@ class Shard:
             bound[q] = np.bincount(self.block[entries], weight * self.most[entries], self.blocks)
             rare.append((entries, weight, np.flatnonzero(~often), places))
         bound += frequent @ self.tops
-        worst = np.array([b[-1] if len(b) == k else 0.0 for b in best])
-        todo = (bound > 0) & (bound * (1 + SLACK) >= worst[:, None])
+        worst = np.array([b[-1] if len(b) == k else 0.0 for b in best], np.float32)
         score = np.full((len(queries), self.blocks * BLOCK), -1, np.float32)
-        for b in range(self.blocks):
-            who = np.flatnonzero(todo[:, b])
-            if len(who):
-                own = frequent if len(who) == len(queries) else frequent[who]
-                score[who, b * BLOCK : (b + 1) * BLOCK] = own @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
+        order, done = np.argsort(-bound, axis=1), np.zeros(bound.shape, bool)
+        leading = np.full((len(queries), k), -1, np.float32)
+        first = 0
+        for end in (*(r for r in ROUNDS if r < self.blocks), self.blocks):
+            own = order[:, first:end]
+            own_bound = np.take_along_axis(bound, own, 1)
+            wanted = (own_bound > 0) & (own_bound * (1 + SLACK) >= worst[:, None])
+            if not wanted.any():
+                break
+            todo = np.zeros(bound.shape, bool)
+            np.put_along_axis(todo, own, wanted, 1)
+            self._score(todo, frequent, rare, score)
+            done |= todo
+            if end < self.blocks:
+                new = np.take_along_axis(score.reshape(len(queries), self.blocks, BLOCK), own[:, :, None], 1).reshape(len(queries), -1)
+                leading = np.partition(np.concatenate((leading, new), 1), -k, axis=1)[:, -k:]
+                # single precision may be a little over the true score
+                worst = np.maximum(worst, leading[:, 0] * (1 - SLACK))
+            first = end
         for q, (entries, weight, rows, places) in enumerate(rare):
-            if not todo[q].any():
+            if not done[q].any():
                 continue
-            length = self.length[entries]
-            posting = ragged(self.at[entries], length)
             own = score[q, :n]
-            doc, part = self.docs[posting], np.repeat(weight, length) * self.impact[posting]
-            own += np.bincount(doc, part, n).astype(np.float32) * (own >= 0)
             least = worst[q]
             if n > k:
                 least = max(least, float(np.partition(own, n - k)[n - k]))
             hit = np.flatnonzero((own > 0) & (own >= least * (1 - SLACK)))
             if len(hit):
+                length = self.length[entries]
+                posting = ragged(self.at[entries], length)
+                doc, part = self.docs[posting], np.repeat(weight, length) * self.impact[posting]
                 term = np.repeat(np.repeat(rows, self.entries[places]), length)
                 self.column[hit] = np.arange(len(hit))
                 column = self.column[doc]
@@ -160,6 +179,22 @@ class Shard:
                 parts[often] = self.exact[np.ix_(self.dense[queries[q][0][often]], hit)] * queries[q][1][often, None]
                 self.column[hit] = -1
                 best[q], found[q] = self._merged(hit, np.add.reduce(parts, axis=0), best[q], found[q], k)
+        return int(done.sum()), int((bound > 0).sum())
+
+    def _score(self, todo: np.ndarray, frequent: np.ndarray, rare: list, score: np.ndarray) -> None:
+        """Scores in single precision of the (query, block) pairs in `todo`."""
+        n = len(self.ids)
+        for b in np.flatnonzero(todo.any(0)).tolist():
+            who = np.flatnonzero(todo[:, b])
+            own = frequent if len(who) == len(todo) else frequent[who]
+            score[who, b * BLOCK : (b + 1) * BLOCK] = own @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
+        for q, (entries, weight, _, _) in enumerate(rare):
+            take = todo[q][self.block[entries]]
+            if take.any():
+                entries, weight = entries[take], weight[take]
+                length = self.length[entries]
+                posting = ragged(self.at[entries], length)
+                score[q, :n] += np.bincount(self.docs[posting], np.repeat(weight, length) * self.impact[posting], n).astype(np.float32)
 
     def _merged(self, hit: np.ndarray, score: np.ndarray, best: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates' scores, summed row by row in the order of terms, among the best so far."""
@@ -180,7 +215,7 @@ def search(df: DataFrame, queries: DataFrame, staging: Staging, k: int = TOP) ->
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 held.append((i, terms_of(text)))
                 size += len(text or b"")
-                if size >= SHARD_BYTES:
+                if size >= SHARD_BYTES or len(held) >= SHARD_ROWS:
                     yield pa.RecordBatch.from_pylist([_build(held)], _SHARD_SCHEMA)
                     held, size = [], 0
         if held:

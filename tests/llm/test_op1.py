@@ -59,3 +59,48 @@ def test_query_equals_brute_force(spark):
     want = brute(docs, [d for d in docs if d[0] % 50 == 0], 10)
     assert [r[:3] for r in got] == [r[:3] for r in want]
     assert all(abs(a[3] - b[3]) < 1e-4 for a, b in zip(got, want))
+
+
+def test_blocks_are_skipped_and_nothing_is_lost():
+    """Texts about topics: most blocks can't reach the k-th best of a query about one."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(6_000):
+        own = [f"topic{i % 40}x{int(x)}" for x in rng.zipf(1.5, 40) if x < 300]
+        texts.append(" ".join([*own, *(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 2_000)]))
+    bags = [collections.Counter(op.terms_of(t.encode()).tolist()) for t in texts]
+    df, mean = collections.Counter(w for b in bags for w in b), sum(b.total() for b in bags) / len(bags)
+    shards = [op.Shard(op._build([(i, op.terms_of(texts[i].encode())) for i in part]), mean) for part in (range(3_000), range(3_000, 6_000))]
+    asked = [np.unique(op.terms_of(texts[i].encode())) for i in range(0, 6_000, 100)]
+    weight = lambda t: np.array([math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w in t.tolist()])
+    best, found, scored, total = [np.empty(0)] * len(asked), [np.empty((0, 2), np.int64)] * len(asked), 0, 0
+    for shard in shards:
+        queries = []
+        for terms in asked:
+            at = np.searchsorted(shard.terms, terms)
+            here = shard.terms[np.minimum(at, len(shard.terms) - 1)] == terms
+            queries.append((at[here], weight(terms[here])))
+        one, all_ = shard.search(queries, best, found, 10)
+        scored, total = scored + one, total + all_
+    assert scored < 0.5 * total, (scored, total)
+    for terms, score, ids in zip(asked, best, found):
+        exact = []
+        for i, bag in enumerate(bags):
+            s = sum(w * 2.2 * bag[t] / (bag[t] + 1.2 * (0.25 + 0.75 * bag.total() / mean)) for t, w in zip(terms.tolist(), weight(terms)) if t in bag)
+            exact.append((-round(s, 8), i))
+        assert [i for _, i in sorted(exact)[:10]] == ids[:, 1].tolist()
+        assert np.allclose([-s for s, _ in sorted(exact)[:10]], score)
+
+
+def test_a_million_empty_texts(spark):
+    docs = spark.range(1_000_000).selectExpr("id AS doc_id", "CASE WHEN id % 400000 = 7 THEN 'a b' WHEN id % 3 = 0 THEN '' END AS text")
+    staging = Staging(spark, "test-bm25")
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in op.search(docs, docs.where("doc_id % 50 = 0 OR doc_id = 7"), staging, 5).collect())
+    staging.drop()
+    assert got == [(7, 1, 7), (7, 2, 400_007), (7, 3, 800_007)]
+
+
+def test_few_cells_for_frequent_terms(spark, monkeypatch):
+    monkeypatch.setattr(op, "CELLS", 2_000)
+    docs = [(i, f"a b c d e f g h {'x' * (i % 5)} {'y' * (i % 7)}") for i in range(200)]
+    assert ours(spark, docs, docs[::20], 5) == brute(docs, docs[::20], 5)
