@@ -1,27 +1,30 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two groupings and two joins by node, nothing is gathered; a node with very many
-edges is split by adaptive execution. Every round's edges are a table in the shared folder.
+Each round is two groupings and two joins by node; nothing is gathered. Nodes with a thousandth of all
+edges or more, at most HUBS times two, are joined by broadcast, so no task gets a hub's rows. Every round's
+edges are a table in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import Staging
 
+#: One in so many rows of a key makes it hot; rows that no key is hot under.
+HUBS, LEAST = 1000, 64
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-    joined = down.join(least, F.col("u") == F.col("c"))
-    return joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+def with_group(df: DataFrame, key: str, total: int | None = None, **figures: Column) -> DataFrame:
+    """All rows of a stored table (of `total` rows at most) with their key's aggregates. Rows of hot keys meet
+    theirs by a broadcast of HUBS rows at most, all others by a join on the key; one aggregation serves both."""
+    total = df.count() if total is None else total
+    hot_from = max(LEAST, -(-total // HUBS))
+    sums = df.groupBy(F.col(key).alias("key__")).agg(F.count("*").alias("rows__"), *(c.alias(n) for n, c in figures.items()))
+    hot, rest = F.broadcast(sums.where(F.col("rows__") >= hot_from)), sums.where(F.col("rows__") < hot_from)
+    same = F.col(key) == F.col("key__")
+    out = df.join(hot, same).unionByName(df.join(hot.select("key__"), same, "left_anti").join(rest, same))
+    return out.drop("key__", "rows__")
 
 
 def components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
@@ -33,6 +36,13 @@ def components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
         if state == before:
             break
         before, turn = state, turn + 1
-        edges = staging.write(tidy(_small(_large(edges))), f"{name}-{turn}")
-        staging.drop(f"{name}-{turn - 2}") if turn > 1 else None
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        large = with_group(both, "u", 2 * state[0], m=F.min("v"))
+        large = large.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+        stars = staging.write(tidy(large), f"{name}-stars-{turn}")
+        down = stars.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        small = with_group(down, "u", 2 * state[0], m=F.min("v"))
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = staging.write(tidy(small), f"{name}-{turn}")
+        staging.drop(f"{name}-stars-{turn}", f"{name}-{turn - 1}")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

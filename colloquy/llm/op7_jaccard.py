@@ -13,8 +13,8 @@ again as H+1: a linked pair then agrees in more than `slack` of them, so a set m
 keys that the most sets share (allocation 0): its empty segments first, then by counted frequency. What
 no other set shares, or what is left out, costs nothing more; most sets with a few common passages end here.
 
-Candidates. Keys go, packed by slice of documents, to buckets, which count them; sets with too few shared
-keys drop out; the others' remaining keys give star edges. Components of these edges hold every linked
+Candidates. Keys go, packed by slice of documents, to buckets, which count them; keys that many sets of a
+slice have go by salts of their sets, and are counted in a second step; sets with too few shared keys drop out; the others' remaining keys give star edges. Components of these edges hold every linked
 pair. Equal sets are one node from the start, so copies never multiply.
 
 Verification is exact, on the sets themselves: a component (or, of one over CAP shingles, each pair of
@@ -38,11 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colloquy.llm.common import Staging, cache, claim, mix64, read_table, slices, tune
-from colloquy.llm.graph import components
+from colloquy.llm.graph import components, with_group
 from colloquy.llm.packed import cut
 
 #: Shingles of a verification task; keys of a bucket; nodes up to which the labels are broadcast.
 CAP, BUCKET_KEYS, SMALL = 2_000_000, 1_000_000, 500_000
+#: Sets of a slice of texts from which a key's holders are dealt out by salts; distinct sets a salt.
+MANY, SALT_SETS = 32, 200_000
 #: What a weak segment costs in keys.
 WEAK_COST = 2.0
 WORDS_KEPT = 300_000
@@ -231,6 +233,7 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
     sums, nodes, moved = _apart(sums, nodes, staging)
     figures = nodes.agg(F.sum("n"), F.count("*")).first()
     total = figures[0] or 0
+    salts = 1 + (figures[1] or 0) // SALT_SETS
     buckets = 1 + int(total * 6 * (q - p) / (q + p) / BUCKET_KEYS)
 
     def index(batches):
@@ -246,16 +249,24 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
                 order, rows = np.argsort(keys, kind="stable"), []
                 for b, first, end in cut(keys[order], buckets):
                     take = order[first:end]
-                    used, local = np.unique(owners[take], return_inverse=True)
                     # 32 bits of a key suffice beside its bucket: a chance meeting only costs time
-                    rows.append((b, keys[take].astype(np.uint32).tobytes(), local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes(), names[used].tobytes(), bands[used].astype(np.int32).tobytes(), spare[used].astype(np.int32).tobytes()))
+                    short = keys[take].astype(np.uint32)
+                    kinds, of, count = np.unique(short, return_inverse=True, return_counts=True)
+                    salt = np.where(count[of] >= MANY, 1 + names[owners[take]].view(np.uint64) % np.uint64(salts), np.uint64(0))
+                    for s in np.unique(salt).tolist() if len(kinds) else []:
+                        own = salt == s
+                        used, local = np.unique(owners[take[own]], return_inverse=True)
+                        marks = kinds[count >= MANY] if s == 0 else kinds[:0]
+                        rows.append((b, int(s), short[own].tobytes(), local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes(), names[used].tobytes(), bands[used].astype(np.int32).tobytes(), spare[used].astype(np.int32).tobytes(), marks.tobytes()))
+                    if len(kinds) and salt.all():
+                        rows.append((b, 0, b"", b"", b"", b"", b"", kinds.tobytes()))
                 if not rows:
                     continue
-                kinds = (pa.int32(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "owners", "names", "bands", "spare"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 6))], ["bucket", "salt", "keys", "owners", "names", "bands", "spare", "marks"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Keys that several nodes share: one row a key and node."""
+        """Keys that several nodes share: one row a key and node. Those that MANY nodes of a slice share
+        come by salts of the nodes, and are only marked where the others are."""
         keys, nodes_, bands, spare = [], [], [], []
         for raw, owners, names, band, left in zip(pdf["keys"], pdf["owners"], pdf["names"], pdf["bands"], pdf["spare"]):
             n = len(raw) // 4
@@ -272,30 +283,40 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         of = np.cumsum(new) - 1
         count = np.bincount(of)[of]
-        shared = count > 1
-        bucket = int(pdf["bucket"].iloc[0])
-        return pd.DataFrame({"key": keys[shared].astype(np.int64) | bucket << 32, "node": nodes_[shared], "band": bands[shared], "spare": spare[shared], "count": count[shared].astype(np.int32)})
-
-    packed = texts.mapInArrow(index, "bucket int, keys binary, owners binary, names binary, bands binary, spare binary")
-    shared = staging.write(packed.groupBy("bucket").applyInPandas(meet, "key long, node long, band int, spare int, count int"), "shared")
+        bucket, salt = int(pdf["bucket"].iloc[0]), int(pdf["salt"].iloc[0])
+        hot = np.full(len(keys), salt > 0)
+        if not salt:
+            hot = np.isin(keys, np.frombuffer(b"".join(pdf["marks"]), np.uint32))
+        shared = hot | (count > 1)
+        return pd.DataFrame({"key": keys[shared].astype(np.int64) | bucket << 32, "node": nodes_[shared], "band": bands[shared], "spare": spare[shared], "count": count[shared].astype(np.int64), "hot": hot[shared]})
+
+    packed = texts.mapInArrow(index, "bucket int, salt int, keys binary, owners binary, names binary, bands binary, spare binary, marks binary")
+    shared = staging.write(packed.groupBy("bucket", "salt").applyInPandas(meet, "key long, node long, band int, spare int, count long, hot boolean"), "met")
+    hot = shared.where("hot")
+    if not hot.isEmpty():
+        # the same order of keys for all their nodes needs their whole counts
+        once = staging.write(hot.drop("hot", "count").dropDuplicates(["key", "node", "band"]), "hot")
+        counted = with_group(once, "key", count=F.count("*"))
+        shared = staging.write(shared.where("NOT hot").drop("hot").unionByName(counted), "shared")
+        staging.drop("met", "hot")
     enough = shared.groupBy("node", "band").agg(F.count("*").alias("k"), F.max("spare").alias("s")).where("k > s").select("node", "band")
     ranked = shared.join(enough, ["node", "band"], "left_semi")
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("count"), "key"))).where("place > spare")
     kept = staging.write(ranked.select("key", "node"), "kept")
-    pivots = kept.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
-    stars = kept.join(pivots, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    stars = with_group(kept, "key", a=F.min("node")).where("node <> a").select("a", F.col("node").alias("b"))
     near = staging.write(components(stars, staging, "near").join(nodes.select("node", "rep", "n"), "node"), "candidates")
 
     sizes = near.groupBy("component").agg(F.sum("n").alias("tokens"))
     active = sizes.agg(F.sum("tokens"), F.count("*")).first()
     bins = max(1, -(-(active[0] or 0) * 2 // CAP))
-    large = sizes.where(F.col("tokens") > CAP)  # at most bins of them
+    large = staging.write(sizes.where(F.col("tokens") > CAP), "large")  # at most bins of them
+    large = F.broadcast(large) if large.count() <= SMALL else large
     blocks = F.ceil(F.col("tokens") * 2 / CAP).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own), lambda j: F.struct(F.col("component").alias("group"), F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
     alone = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("group"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    tasks = near.join(F.broadcast(large), "component", "left").select("rep", "component", "node", F.when(F.col("tokens").isNull(), alone).otherwise(spread).alias("tasks"))
-    tasks = F.broadcast(tasks) if near.count() <= SMALL else tasks
+    tasks = near.join(large, "component", "left").select("rep", "component", "node", F.when(F.col("tokens").isNull(), alone).otherwise(spread).alias("tasks"))
+    tasks = F.broadcast(tasks) if (tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= SMALL else tasks
     chosen = texts.join(tasks, texts.doc_id.eqNullSafe(tasks.rep))
 
     def sets_of(batches):
@@ -326,8 +347,8 @@ def classes(df: DataFrame, staging: Staging, k: int, p: int, q: int) -> DataFram
 
     linked = shipped.groupBy("group", "i", "j").applyInPandas(verify, "a long, b long")
     found = components(linked, staging, "links").join(nodes.select("node", "rep"), "node")
-    found = staging.write(found.join(found.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "least"), "classes")
-    staging.drop("shared", "kept", "candidates")
+    found = staging.write(with_group(staging.write(found, "linked"), "component", least=F.min("rep")).select("node", "least"), "classes")
+    staging.drop("met", "shared", "kept", "candidates", "large", "linked")
     own = nodes.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     empty = sums.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return sums.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)

@@ -122,6 +122,27 @@ def test_large_components_are_split_into_blocks(spark, monkeypatch):
     assert ours(spark, rows, 3, 90, 100) == sorted(brute(rows, 3, 90, 100), key=repr)
 
 
+def test_keys_of_most_sets_are_salted(spark, monkeypatch):
+    for name, value in (("MANY", 3), ("SALT_SETS", 40)):
+        monkeypatch.setattr(op, name, value)
+    rng = np.random.default_rng(5)
+    # a passage that most texts hold, and near copies in chains and stars
+    common = " ".join(f"c{i}" for i in range(40))
+    texts = [f"{common} {t}" if rng.random() < 0.8 else t for t in near(rng, 250)]
+    rows = [*enumerate(texts), (900, common), (901, common + " x"), (None, texts[0])]
+    assert ours(spark, rows, 5, 4, 5) == sorted(brute(rows, 5, 4, 5), key=repr)
+
+
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST", 3)
+    monkeypatch.setattr(graph, "HUBS", 20)
+    edges = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(150, 300)] + [(1000 + i, 1001 + i) for i in range(30)]
+    staging = Staging(spark, "test-graph")
+    got = {tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long"), staging, "g").collect()}
+    staging.drop()
+    assert got == {(i, 0) for i in [*range(300), 500]} | {(i, 1000) for i in range(1000, 1031)}
+
+
 def test_sets_of_one_digest_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(op, "NODE_MASK", 7)
     texts = near(np.random.default_rng(11), 120)
