@@ -471,13 +471,17 @@ def mixture_memberships(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(over(first), lambda x: x.cast("string")), ",").alias("labels"))
 
 
-@_query("WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <= 11) SELECT conv_id, turn, '0' AS labels FROM conversations JOIN c USING (conv_id)")
+@_query("WITH t AS (SELECT CASE WHEN conv_id % 3 = 0 THEN -1 - conv_id % 2 ELSE conv_id END AS topic, conv_id, turn FROM conversations) SELECT topic, conv_id, turn, CASE WHEN count(*) OVER (PARTITION BY topic) <= 11 THEN '0' ELSE 'fitted' END AS labels FROM t")
 def cluster_small_groups(spark, sf):
-    """Conversations of up to 11 turns share label 0, as its SQL has it; cluster_conversations takes all."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.length("text").cast("double"), F.col("turn").cast("double")).alias("v"))
-    few = turns.groupBy("conv_id").count().where("count <= 11").select("conv_id")
-    got = cluster.cluster(turns.join(few, "conv_id", "left_semi"), "conv_id", "turn", "v")
-    return got.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+    """The guard beside fitted groups: a third of the conversations are put together into two large groups.
+    Up to 11 turns share label 0; the labels of larger groups are the mixture's, which SQL can't give."""
+    topic = F.when(F.col("conv_id") % 3 == 0, -1 - F.col("conv_id") % 2).otherwise(F.col("conv_id"))
+    node = F.struct("conv_id", "turn")
+    turns = table(spark, sf, "conversations").select(topic.alias("topic"), node.alias("node"), F.array(F.coalesce(F.length("text"), F.lit(0)).cast("double"), F.col("turn").cast("double")).alias("v"))
+    got = cluster.cluster(turns.withColumn("node", F.to_json("node")), "topic", "node", "v")
+    few = turns.groupBy("topic").agg((F.count("*") <= 11).alias("few"))
+    said = F.when(F.col("few"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",")).otherwise("fitted")
+    return got.join(few, "topic").select("topic", F.from_json("node", "conv_id long, turn long").alias("n"), said.alias("labels")).select("topic", "n.conv_id", "n.turn", "labels")
 
 
 @_query()
