@@ -46,15 +46,17 @@ class Figures:
     fresh: float  # distinct words over the words to the power 3/4
     ends: float  # words that end with . , ; or :
     odd: float  # words with a symbol at an end
+    counts: Counter  # of the words
 
 
 def figures(words: list[bytes], text: bytes) -> Figures:
     n = len(words)
     by = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower = int(by[65:91].sum()), int(by[97:123].sum())
-    last = Counter(w[-1] for w in words)
-    counts = Counter(words)
-    odd = sum(k for c, k in last.items() if c in SYMBOLS)
+    counts, last = Counter(words), [0] * 256
+    for w, k in counts.items():
+        last[w[-1]] += k
+    odd = sum(last[c] for c in SYMBOLS)
     return Figures(
         n,
         upper / max(1, upper + lower),
@@ -66,6 +68,7 @@ def figures(words: list[bytes], text: bytes) -> Figures:
         len(counts) / n**0.75,
         sum(last[c] for c in b".,;:") / n,
         odd / n,
+        counts,
     )
 
 
@@ -111,24 +114,39 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tup
     return (hits + 2 * guess) / ((weight.sum(0) @ fired) + 2), share, np.where(patterns > 0, good, share)
 
 
+#: Letters as a or A, digits as 0.
+_KINDS = bytes(97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+
+
+class _Places(dict):
+    """Words of a, A, 0 and marks to a place in the hashed space: runs of a kind count once, of a mark twice."""
+
+    def __missing__(self, kinds: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        shape = re.sub(rb"([^aA0])\1+", rb"\1\1", re.sub(rb"([aA0])\1+", rb"\1", kinds))
+        at = self[kinds] = xxhash.xxh32_intdigest(shape[:40]) % SPACE
+        return at
+
+
 class _Shapes(dict):
-    """Words to a place in the hashed space, by their shape."""
+    """Words to the place of their shape."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        shape = re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[0-9]+", b"0", word)))
-        at = self[word] = xxhash.xxh32_intdigest(re.sub(rb"(.)\1+", rb"\1\1", shape)[:40]) % SPACE
+        at = self[word] = _places[word.translate(_KINDS)]
         return at
 
 
-_shapes = _Shapes()
-cache("quality", _shapes.clear)
+_places, _shapes = _Places(), _Shapes()
+cache("quality", lambda: (_shapes.clear(), _places.clear()))
 
 
 def features(words: list[bytes], f: Figures) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values in the hashed space: mean shape counts, and one place for each figure's bin."""
-    at, n = np.unique(np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words)), return_counts=True)
+    """Places and values in the hashed space: mean counts of the words' shapes, which may share a place, and one place for each figure's bin."""
+    at = np.fromiter(map(_shapes.__getitem__, f.counts), np.int64, len(f.counts))
+    n = np.fromiter(f.counts.values(), np.int64, len(f.counts))
     bins = [f"{name}:{min(9, int(value * 10))}" for name, value in (("u", f.upper), ("s", f.symbols * 3), ("x", f.shouts), ("a", f.again), ("t", f.top), ("f", f.fresh / 2), ("e", f.ends), ("o", f.odd))]
     places = np.array([xxhash.xxh32_intdigest(b) % SPACE for b in bins], np.int64)
     return np.concatenate((at, places)), np.concatenate((n / len(words), np.full(len(bins), 0.5)))
