@@ -332,3 +332,22 @@ def test_stream_equals_batch(spark, tmp_path):
         stream = dialogues.read_dialogues(spark, str(tmp_path / "in"), df.schema)
         assert dialogues.preprocess_stream(stream, "d", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(preprocess(df, "d").collect())
+
+
+def test_long_dialogues_and_patient_sentences(spark, apply):
+    """Thousands of turns: the other role and the counts are computed once, not once a turn."""
+    turns = [("doctor" if i % 2 else "patient", f" turn {i} ?" + " ?" * (i % 2 == 0)) for i in range(4_000)]
+    said = "\n".join(f"[{r}]{t}" for r, t in turns)
+    want = "\n".join(f"[{'patient' if r == 'doctor' else 'doctor'}]{t}" for r, t in turns)
+    got = roles.fix_role(spark.createDataFrame([(said,)], "d string"), "d").first().fixed_role_dialogue
+    assert got == want
+    split = lambda c: clean.rewrite_patient(c, splitter=sentences.split_sentences)
+    assert apply(split, "[patient]  I am ok. My\tarm hurts\n[doctor] I am") == "[patient] the patient is ok. his / her\tarm hurts\n[doctor] I am"
+
+
+def test_annotations_and_default_providers(spark, apply):
+    df = spark.createDataFrame([(1, "[doctor] hi , you\n[patient] ok.")], "k long, d string")
+    rows = parse.annotated(df, "d", providers.get("language", "tokens")).orderBy("pos").collect()
+    assert [r.annotation for r in rows] == [["hi", ",", "you"], ["ok", "."]]
+    assert apply(providers.get("summary", "extractive"), "One two three. Four five.") != ""
+    assert apply(providers.get("sentences", "pattern"), "A b. C d") == ["A b.", "C d"]
