@@ -1,3 +1,4 @@
+import gc
 import hashlib
 
 import corpus_pipeline as pipeline
@@ -53,3 +54,16 @@ def test_copies_without_an_id_leave_one_of_each_class(spark):
     assert [r for r in got if r[1] and r[1][0] == "a"] == [(7, text[0])]
     assert len([r for r in got if r[1] and r[1][0] == "b"]) == 1
     assert sorted(str(r[1]) for r in got if not r[1]) == ["", "", "None"]
+
+
+def test_a_later_stage_keeps_tables_of_frames_that_are_held(spark):
+    text = "The cat sat on the mat, and then it went to sleep. A dog came by; nobody else had seen it before, so far."
+    docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(3)], "doc_id long, text string")
+    first, second = (pipeline.substring_dedup(spark, docs, SF) for _ in range(2))
+    folder = pipeline._read[-2][1].path
+    pipeline.byte_bpe(spark, docs, SF)
+    assert sorted(first.collect()) == sorted(second.collect()) and first.count() == 3
+    del first
+    gc.collect()
+    pipeline.byte_bpe(spark, docs, SF)
+    assert folder not in [held.path for _, held in pipeline._read] and second.count() == 3
