@@ -6,9 +6,8 @@ frequencies, the number of rows and the mean length are those of the whole table
 
 Queries go in blocks of about BLOCK_TERMS terms, each broadcast; their number follows the query set, and
 for each the shards are read once. For a query, the sum of its terms' block maxima bounds every score in
-a block. Blocks are taken in falling order of that bound, in rounds of ROUNDS blocks; each round raises the query's
-k-th best score, which a task keeps across its shards, and blocks with a bound under it are skipped. In
-the others, frequent terms are scored for many queries at once as matrix products in single precision, rare
+a block. A query's k-th best score is first raised by the block of its highest bound, and a task keeps
+it across its shards; blocks with a bound under it are skipped. In the others, frequent terms are scored for many queries at once as matrix products in single precision, rare
 ones by their postings; what then may be among the k best is scored again in double precision, term by
 term. Tasks' best are merged by score and id.
 
@@ -32,8 +31,8 @@ from colloquy.llm.common import Staging, cache, claim, ragged, read_table, tune
 
 K1, B, TOP, EVERY = 1.2, 0.75, 10, 50
 SHARD_BYTES, SHARD_ROWS, BLOCK, BLOCK_TERMS = 24 << 20, 1 << 15, 64, 2_500_000
-#: Blocks up to which each round but the last goes; cells of a shard's matrix of frequent terms at most.
-ROUNDS, CELLS = (4, 24), 24_000_000
+#: Cells of a shard's matrix of frequent terms at most.
+CELLS = 24_000_000
 #: Tasks' lists that are merged at once.
 MERGED = 100_000
 #: Queries scored together; the share of a shard's texts from which a term is frequent; what single precision may miss.
@@ -137,38 +136,26 @@ class Shard:
             rare.append((entries, weight, np.flatnonzero(~often), places))
         bound += frequent @ self.tops
         worst = np.array([b[-1] if len(b) == k else 0.0 for b in best], np.float32)
+        worst = np.maximum(worst, self._raised(bound, worst, queries, rare, k))
+        todo = (bound > 0) & (bound * (1 + SLACK) >= worst[:, None])
         score = np.full((len(queries), self.blocks * BLOCK), -1, np.float32)
-        order, done = np.argsort(-bound, axis=1), np.zeros(bound.shape, bool)
-        leading = np.full((len(queries), k), -1, np.float32)
-        first = 0
-        for end in (*(r for r in ROUNDS if r < self.blocks), self.blocks):
-            own = order[:, first:end]
-            own_bound = np.take_along_axis(bound, own, 1)
-            wanted = (own_bound > 0) & (own_bound * (1 + SLACK) >= worst[:, None])
-            if not wanted.any():
-                break
-            todo = np.zeros(bound.shape, bool)
-            np.put_along_axis(todo, own, wanted, 1)
-            self._score(todo, frequent, rare, score)
-            done |= todo
-            if end < self.blocks:
-                new = np.take_along_axis(score.reshape(len(queries), self.blocks, BLOCK), own[:, :, None], 1).reshape(len(queries), -1)
-                leading = np.partition(np.concatenate((leading, new), 1), -k, axis=1)[:, -k:]
-                # single precision may be a little over the true score
-                worst = np.maximum(worst, leading[:, 0] * (1 - SLACK))
-            first = end
+        for b in np.flatnonzero(todo.any(0)).tolist():
+            who = np.flatnonzero(todo[:, b])
+            own = frequent if len(who) == len(queries) else frequent[who]
+            score[who, b * BLOCK : (b + 1) * BLOCK] = own @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
         for q, (entries, weight, rows, places) in enumerate(rare):
-            if not done[q].any():
+            if not todo[q].any():
                 continue
+            length = self.length[entries]
+            posting = ragged(self.at[entries], length)
             own = score[q, :n]
+            doc, part = self.docs[posting], np.repeat(weight, length) * self.impact[posting]
+            own += np.bincount(doc, part, n).astype(np.float32) * (own >= 0)
             least = worst[q]
             if n > k:
                 least = max(least, float(np.partition(own, n - k)[n - k]))
             hit = np.flatnonzero((own > 0) & (own >= least * (1 - SLACK)))
             if len(hit):
-                length = self.length[entries]
-                posting = ragged(self.at[entries], length)
-                doc, part = self.docs[posting], np.repeat(weight, length) * self.impact[posting]
                 term = np.repeat(np.repeat(rows, self.entries[places]), length)
                 self.column[hit] = np.arange(len(hit))
                 column = self.column[doc]
@@ -179,22 +166,26 @@ class Shard:
                 parts[often] = self.exact[np.ix_(self.dense[queries[q][0][often]], hit)] * queries[q][1][often, None]
                 self.column[hit] = -1
                 best[q], found[q] = self._merged(hit, np.add.reduce(parts, axis=0), best[q], found[q], k)
-        return int(done.sum()), int((bound > 0).sum())
-
-    def _score(self, todo: np.ndarray, frequent: np.ndarray, rare: list, score: np.ndarray) -> None:
-        """Scores in single precision of the (query, block) pairs in `todo`."""
-        n = len(self.ids)
-        for b in np.flatnonzero(todo.any(0)).tolist():
-            who = np.flatnonzero(todo[:, b])
-            own = frequent if len(who) == len(todo) else frequent[who]
-            score[who, b * BLOCK : (b + 1) * BLOCK] = own @ self.rows[:, b * BLOCK : (b + 1) * BLOCK]
-        for q, (entries, weight, _, _) in enumerate(rare):
-            take = todo[q][self.block[entries]]
-            if take.any():
-                entries, weight = entries[take], weight[take]
-                length = self.length[entries]
-                posting = ragged(self.at[entries], length)
-                score[q, :n] += np.bincount(self.docs[posting], np.repeat(weight, length) * self.impact[posting], n).astype(np.float32)
+        return int(todo.sum()), int((bound > 0).sum())
+
+    def _raised(self, bound: np.ndarray, worst: np.ndarray, queries: list, rare: list, k: int) -> np.ndarray:
+        """The k-th best score in the block of the highest bound, for queries that have no k-th best yet."""
+        out = np.zeros(len(queries), np.float32)
+        if self.blocks < 2 or BLOCK < k:
+            return out
+        wide, leading = self.rows.reshape(len(self.rows), self.blocks, BLOCK), bound.argmax(1)
+        for q in np.flatnonzero((worst == 0) & bound.any(1)).tolist():
+            entries, weight, _, _ = rare[q]
+            b, at = leading[q], self.dense[queries[q][0]]
+            often = at >= 0
+            score = queries[q][1][often].astype(np.float32) @ wide[at[often], b]
+            take = self.block[entries] == b
+            length = self.length[entries[take]]
+            posting = ragged(self.at[entries[take]], length)
+            score = score + np.bincount(self.docs[posting] - b * BLOCK, np.repeat(weight[take], length) * self.impact[posting], BLOCK)
+            # single precision may be a little over the true score
+            out[q] = np.partition(score, -k)[-k] * (1 - SLACK)
+        return out
 
     def _merged(self, hit: np.ndarray, score: np.ndarray, best: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates' scores, summed row by row in the order of terms, among the best so far."""
