@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is two groupings and two joins by node; nothing is gathered. Nodes with a thousandth of all
-edges or more, at most HUBS times two, are joined by broadcast, so no task gets a hub's rows. Every round's
+edges or more, HUBS at most, are joined by broadcast, so no task gets a hub's rows. Every round's
 edges are a table in the shared folder.
 """
 
