@@ -205,7 +205,8 @@ def fit(df: DataFrame, staging: Staging, most: int = TRAIN_ROWS) -> Model:
                 if words:
                     f = figures(words, t)
                     at, value = features(words, f)
-                    out.append({"mark": mark, "pattern": votes(f), "at": at.tolist(), "value": value.tolist()})
+                    at, of = np.unique(at, return_inverse=True)  # what goes to the driver has each place once
+                    out.append({"mark": mark, "pattern": votes(f), "at": at.tolist(), "value": np.bincount(of, value).tolist()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("mark", pa.int64()), ("pattern", pa.int32()), ("at", pa.list_(pa.int64())), ("value", pa.list_(pa.float64()))]))
 
     # copies of a text are one row
