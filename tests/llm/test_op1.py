@@ -104,3 +104,55 @@ def test_few_cells_for_frequent_terms(spark, monkeypatch):
     monkeypatch.setattr(op, "CELLS", 2_000)
     docs = [(i, f"a b c d e f g h {'x' * (i % 5)} {'y' * (i % 7)}") for i in range(200)]
     assert ours(spark, docs, docs[::20], 5) == brute(docs, docs[::20], 5)
+
+
+def test_texts_of_other_languages_are_skipped_and_nothing_is_lost():
+    """Four languages of 60 common words each: a query's own is a quarter of the blocks, though texts' commonest words differ."""
+    rng = np.random.default_rng(8)
+    words_of = lambda: [*rng.integers(0, 60, rng.integers(30, 90)), *rng.integers(60, 3_000, 20)]
+    texts = [" ".join(f"{'abcd'[i % 4]}{int(x)}" for x in words_of()) + " all share these" for i in range(4_000)]
+    bags = [collections.Counter(op.terms_of(t.encode()).tolist()) for t in texts]
+    df, mean = collections.Counter(w for b in bags for w in b), sum(b.total() for b in bags) / len(bags)
+    shards = [op.Shard(op._build([(i, op.terms_of(texts[i].encode())) for i in part]), mean) for part in (range(2_000), range(2_000, 4_000))]
+    asked = [np.unique(op.terms_of(texts[i].encode())) for i in range(0, 4_000, 50)]
+    weight = lambda t: np.array([math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w in t.tolist()])
+    best, found, scored, total = [np.empty(0)] * len(asked), [np.empty((0, 2), np.int64)] * len(asked), 0, 0
+    for shard in shards:
+        queries = []
+        for terms in asked:
+            at = np.searchsorted(shard.terms, terms)
+            here = shard.terms[np.minimum(at, len(shard.terms) - 1)] == terms
+            queries.append((at[here], weight(terms[here])))
+        one, all_ = shard.search(queries, best, found, 10)
+        scored, total = scored + one, total + all_
+    assert scored < 0.35 * total, (scored, total)
+    for terms, score, ids in zip(asked, best, found):
+        exact = []
+        for i, bag in enumerate(bags):
+            s = sum(w * 2.2 * bag[t] / (bag[t] + 1.2 * (0.25 + 0.75 * bag.total() / mean)) for t, w in zip(terms.tolist(), weight(terms)) if t in bag)
+            exact.append((-round(s, 8), i))
+        assert [i for _, i in sorted(exact)[:10]] == ids[:, 1].tolist()
+        assert np.allclose([-s for s, _ in sorted(exact)[:10]], score)
+
+
+def test_shards_that_go_first_and_small_batches(spark, monkeypatch):
+    """What the first shards reach holds for all tasks; ties with it, and queries with few matches, lose nothing."""
+    for name, value in (("SHARD_BYTES", 1_500), ("BLOCK", 4), ("AHEAD", 3), ("TOGETHER", 7), ("GRID", 40), ("BLOCK_TERMS", 700)):
+        monkeypatch.setattr(op, name, value)
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 60)) if x < 300)) for i in range(400)]
+    docs += [(400 + i, docs[i % 5][1]) for i in range(60)] + [(None, docs[3][1]), (500, None), (501, "")]
+    queries = docs[::11] + [docs[0], docs[3], (9, "nothing-of-this"), (None, "a1 b1"), (8, "a299")]
+    assert ours(spark, docs, queries, 5) == brute(docs, queries, 5)
+
+
+def test_floor_keeps_ties_and_leaves_out_what_is_under_it():
+    texts = ["a b c", "a b c", "a b", "a x", "c x y", "x y z"] * 20
+    shard = op.Shard(op._build([(i, op.terms_of(t.encode())) for i, t in enumerate(texts)]), 2.5)
+    terms = np.unique(op.terms_of(b"a b c"))
+    at, all_ = np.searchsorted(shard.terms, terms), np.ones(3)
+    first, ids = [np.empty(0)], [np.empty((0, 2), np.int64)]
+    shard.search_flat(np.array([0, 3]), at, all_, first, ids, 50)
+    best, found = [np.empty(0)], [np.empty((0, 2), np.int64)]
+    shard.search_flat(np.array([0, 3]), at, all_, best, found, 50, first[0][39:40])
+    assert best[0].tolist() == first[0][:40].tolist() and found[0][:, 1].tolist() == [i for i in range(120) if i % 6 < 2]
