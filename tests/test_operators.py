@@ -244,6 +244,40 @@ def test_mixture_invariants():
     assert given[0] == [0] and given[40] == [1] and given[70] == [2]
 
 
+def test_mixtures_fitted_together_equal_direct_ones(monkeypatch):
+    """Products of coordinates give the criterion and the posteriors of the direct form, dead components too."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(m, s, (n, 12)) for m, s, n in ((0, 1, 300), (2, 0.1, 240), (-1, 2, 90))] + [np.full((9, 12), 5.0)])
+    few = np.repeat(rng.normal(0, 1, (3, 12)), 7, 0)
+    sizes = [1, 2, 3, 5, 8]
+    got, less, means = cluster.criteria(x, sizes), cluster.criteria(few, sizes), rng.normal(0, 1, (4, 12))
+    one, given = cluster.Mixture(x, 5), cluster.Mixture(x, 4, means)
+    monkeypatch.setattr(cluster, "WIDE", range(0))
+    assert np.allclose(got, cluster.criteria(x, sizes), rtol=1e-9) and np.allclose(less, cluster.criteria(few, sizes), rtol=1e-6)
+    for a, b in ((one, cluster.Mixture(x, 5)), (given, cluster.Mixture(x, 4, means))):
+        assert len(a.bounds) == len(b.bounds) and np.allclose(a.posterior, b.posterior, atol=1e-6) and np.allclose(a.means, b.means)
+    assert [k for own in cluster.shares(700) for k in own] == list(range(1, 50)) and cluster.shares(2) == [[1]]
+
+
+def test_closest_centre_by_rounding():
+    """A large product of points and centres decides as the differences do, ties included."""
+    rng = np.random.default_rng(8)
+    x, centre = rng.integers(0, 2, (40000, 6)).astype(float), rng.integers(0, 2, (9, 6)).astype(float)
+    assert (cluster._closest(x, centre) == ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)).all()
+
+
+def test_sizes_of_a_large_group_go_to_several_tasks(spark):
+    """No task tries all sizes of a large group, and the labels are those of one that does."""
+    rng = np.random.default_rng(6)
+    x = np.vstack((rng.normal(0, 0.2, (150, 8)), rng.normal(2, 0.2, (150, 8))))
+    rows = [(1, i, v.tolist()) for i, v in enumerate(x)] + [(2, i, [float(i)] * 8) for i in range(3)]
+    got = cluster.cluster(spark.createDataFrame(rows, "k int, i int, v array<double>"), "k", "i", "v")
+    plan = got._jdf.queryExecution().toString()
+    assert "share__" in plan and "MapInPandas" in plan
+    by = {(r.k, r.i): r["labels"] for r in got.collect()}
+    assert [by[1, i] for i in range(300)] == cluster.labels(x) and all(by[2, i] == [0] for i in range(3)) and len(by) == 303
+
+
 def test_cluster_guard_and_regroup(spark):
     rng = np.random.default_rng(4)
     rows = [(1, i, [float(i)]) for i in range(11)] + [(2, i, rng.normal(i % 2 * 9, 0.1, 1).tolist()) for i in range(12)]
