@@ -37,10 +37,11 @@ def _flush(state: Column) -> Column:
     return F.when(F.size(state.held) > 0, F.array_append(state.chunks, F.array_join(state.held, " "))).otherwise(state.chunks)
 
 
-def pack(text: Column, max_tokens: int, overlap: int = 0, count: Callable[[Column], Column] = token_count, compat: bool = False) -> Column:
+def pack(text: Column, max_tokens: int, overlap: int = 0, count: Callable[[Column], Column] = token_count, compat: bool = False, cut: bool = True) -> Column:
     """Chunks of a text. A sentence over the limit is cut at commas, colons and semicolons and packed by
     itself at once, while the open chunk stays open, so chunks can stand out of the text's order.
-    `overlap` pieces carry over; `compat` sums their length from the front of all counts."""
+    `overlap` pieces carry over; `compat` sums their length from the front of all counts. Without `cut` a sentence over
+    the limit stays whole and in its place: it closes the open chunk and begins the next."""
     counted = lambda s: F.struct(s.alias("s"), count(F.concat(F.lit(" "), s)).alias("n"))
     every = F.transform(F.split(text, "[.!?\n]", -1), counted)
 
@@ -62,6 +63,8 @@ def pack(text: Column, max_tokens: int, overlap: int = 0, count: Callable[[Colum
         return F.aggregate(subs, _start(), step(F.transform(subs, lambda x: x.n), True), _flush)
 
     def sentence(state: Column, piece: Column) -> Column:
+        if not cut:
+            return step(F.transform(every, lambda x: x.n), True)(state, piece)
         long = _state(F.concat(state.chunks, parts(piece.s)), state.held, state.counts, state.length)
         return F.when(piece.n > max_tokens, long).otherwise(step(F.transform(every, lambda x: x.n), False)(state, piece))
 
