@@ -244,6 +244,21 @@ def test_mixture_invariants():
     assert given[0] == [0] and given[40] == [1] and given[70] == [2]
 
 
+def test_labelled_dialogues_go_out_a_few_at_a_time(spark, monkeypatch):
+    """However many rows a batch brings, a worker makes the texts of a few at once and gives them before the next."""
+    texts = [f"[doctor] w{i} end. so\n[patient] so, end" for i in range(1000)] + [None, ""]
+    df, seen = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string").coalesce(1), []
+    upper = punctuation.model(lambda: lambda runs: [["." if w == "end" else "0" for w in r] for r in runs])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda frame, run, schema: seen.append((frame, run)))
+    punctuation.restore_punctuation(df, "d", provider=upper)
+    (frame, run), = seen
+    batch = frame.toArrow().combine_chunks().to_batches()[0]
+    parts = list(run(iter([batch])))
+    assert batch.num_rows == 1002 and max(p.num_rows for p in parts) <= 256
+    got = {i: t for p in parts for i, t in zip(p["i"].to_pylist(), p["restore_punctuation_dialogue"].to_pylist())}
+    assert [got[i] for i in range(1002)] == [f"[doctor] w{i} end. so\n[patient] so end." for i in range(1000)] + [None, ""]
+
+
 def test_mixtures_fitted_together_equal_direct_ones(monkeypatch):
     """Products of coordinates give the criterion and the posteriors of the direct form, dead components too."""
     rng = np.random.default_rng(3)
